@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notewright.llm.language_id import op4_language_id
+from notewright.llm.mixing import op10_mixing
 from notewright.llm.packing import op2_packing
+from notewright.llm.quality import op7_quality_rules
 from notewright.llm.token_counts import op5_token_counts
+from notewright.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_toxicity": op8_toxicity,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
