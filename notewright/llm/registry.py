@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from notewright.llm.language_id import op4_language_id
 from notewright.llm.mixing import op10_mixing
+from notewright.llm.near_dedup import op9_near_dedup
 from notewright.llm.packing import op2_packing
 from notewright.llm.quality import op7_quality_rules
 from notewright.llm.token_counts import op5_token_counts
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
+    "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
