@@ -2,7 +2,7 @@
 
 The verdict is a calibrated probability from a logistic regression over hashed words, word pairs and
 character n-grams of words, held against a fixed threshold; texts that fail the base rules are out
-whatever it says.  Words and character n-grams enter as means over a text's words, so a word's part
+whatever it says.  Words and character n-grams enter as (shrunk) means over a text's words, so a word's part
 is one number that is computed once; word pairs are looked up by hash.
 """
 
@@ -26,8 +26,10 @@ SYMBOLS, SPACES = "#*$%&|<>", " \t\n\r\x0b\x0c"
 #: The probability of good quality from which on a text is kept.
 THRESHOLD = 0.5
 #: Bounds of the fit: labelled texts of each label, and bytes of each text.
-SAMPLE, LONGEST = 4000, 65_536
+SAMPLE, LONGEST = 2000, 65_536
 BITS, GRAMS = 18, (3, 4)
+#: Words that pull a short text's means towards nothing.
+SHRINK = 8
 PAIR_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -124,9 +126,9 @@ class Scorer:
             if self.model is not None:
                 m = self.model.constant
                 if n:
-                    m += self.words.rows[i, 1].mean()
+                    m += self.words.rows[i, 1].sum() / (n + SHRINK)
                 if n > 1:
-                    m += self.model.pairs[pairs(hashes[i])].mean()
+                    m += self.model.pairs[pairs(hashes[i])].sum() / (n - 1 + SHRINK)
                 margin[k] = m
         if self.model is not None:
             out["margin"] = margin
@@ -134,7 +136,7 @@ class Scorer:
         return out
 
 
-def train(texts: list[str], good: np.ndarray, epochs: int = 12, rate: float = 0.5, l2: float = 1e-6, seed: int = 7) -> Model:
+def train(texts: list[str], good: np.ndarray, weight: np.ndarray | None = None, epochs: int = 12, rate: float = 0.5, l2: float = 1e-6, seed: int = 7) -> Model:
     """Fits the regression by AdaGrad on four fifths of the texts and calibrates it on the rest."""
     size = 1 << BITS
     model = Model(np.zeros(size), np.zeros(size), np.zeros(size), 0.0)
@@ -154,17 +156,17 @@ def train(texts: list[str], good: np.ndarray, epochs: int = 12, rate: float = 0.
         for ws in split:
             i = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
             if not len(i):
-                rows.append((np.zeros(0, np.int64), np.zeros(0)))
+                rows.append((np.zeros(0, np.int32), np.zeros(0, np.float32)))
                 continue
             u, c = np.unique(i, return_counts=True)
             inner = [features[order[starts[w] : starts[w + 1]]] for w in u]
             many = np.array([len(x) for x in inner])
-            inner_weight = np.repeat(c / len(i) / np.maximum(many, 1), many)
+            inner_weight = np.repeat(c / (len(i) + SHRINK) / np.maximum(many, 1), many)
             p = pairs(h[i]) if len(i) > 1 else np.zeros(0, np.int64)
             f = np.concatenate([(h[u] >> np.uint64(64 - BITS)).astype(np.int64), size + np.concatenate(inner), 2 * size + p])
-            v = np.concatenate([c / len(i), inner_weight, np.full(len(p), 1.0 / max(1, len(p)))])
+            v = np.concatenate([c / (len(i) + SHRINK), inner_weight, np.full(len(p), 1.0 / (len(p) + SHRINK))])
             f, back = np.unique(f, return_inverse=True)
-            rows.append((f, np.bincount(back, v)))
+            rows.append((f.astype(np.int32), np.bincount(back, v).astype(np.float32)))
     del scorer
     check = np.arange(len(texts)) % 5 == 4
     w, g2 = np.zeros(3 * size + 1), np.full(3 * size + 1, 1e-4)
@@ -192,7 +194,7 @@ def train(texts: list[str], good: np.ndarray, epochs: int = 12, rate: float = 0.
     held = np.flatnonzero(check)
     margin = np.array([w[-1] + (rows[i][1] * w[rows[i][0]]).sum() for i in held])
     if good[held].min() < good[held].max():
-        scale, shift = fit_logistic(margin[:, None], good[held].astype(float), l2=1e-2)
+        scale, shift = fit_logistic(margin[:, None], good[held].astype(float), l2=1e-2, weight=None if weight is None else weight[held])
         if scale > 0:
             model.scale, model.shift = float(scale), float(shift)
     return model
@@ -202,13 +204,16 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Learns from about ``sample`` labelled texts of each label at most, each of at most ``longest``
     bytes.  The bounded list of their ids is broadcast, so the documents are not shuffled."""
     rows = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).alias("label"))
+    shares = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     chosen = common.bounded_sample(rows, "label", "key", sample, seed=7)
     found = docs.where(F.octet_length(text) <= longest).select(F.col(key).alias("key"), F.col(text).alias("text"))
     # At most about 2 * sample rows of two numbers: a proven bound.
     got = found.join(F.broadcast(chosen), "key").toArrow().sort_by([("key", "ascending"), ("label", "ascending")])
     order = np.random.default_rng(7).permutation(got.num_rows)
     texts, good = got["text"].to_pylist(), np.array(got["label"].to_pylist(), np.float64)
-    return train([texts[i] for i in order], good[order])
+    # For the calibration a text weighs as its label's share of all labels.
+    weight = np.array([max(1.0, shares.get(int(y), 1) / sample) for y in good])
+    return train([texts[i] for i in order], good[order], weight[order])
 
 
 _scorers: dict[int, Scorer] = {}
