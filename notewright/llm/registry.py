@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notewright.llm.html_extraction import op6_html_extraction
 from notewright.llm.language_id import op4_language_id
 from notewright.llm.mixing import op10_mixing
 from notewright.llm.near_dedup import op9_near_dedup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
+    "op6_html_extraction": op6_html_extraction,
     "op7_quality_rules": op7_quality_rules,
     "op8_toxicity": op8_toxicity,
     "op9_near_dedup": op9_near_dedup,
