@@ -196,10 +196,15 @@ def region_links(v: np.ndarray, threshold: float, targets: np.ndarray | None = N
     # What the searches found close by is linked too, so that ranges are connected.
     row, col = np.nonzero(near)
     graph.connect(np.concatenate([graph.links, np.column_stack([row, beams[row, col]])]))
+    # Every vector asked for is a node itself: its own adjacency list is part of what it found.
+    close = np.zeros(len(v), bool)
+    for at in range(0, len(graph.links), 65_536):
+        e = graph.links[at : at + 65_536]
+        close[e[np.einsum("nd,nd->n", v[e[:, 0]], v[e[:, 1]]) >= threshold - SLACK, 0]] = True
 
     def search(queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         for q in queries.tolist():
-            got = graph.expand(q, beams[q][near[q]], threshold) if near[q].any() else np.zeros(0, np.int64)
+            got = graph.expand(q, np.r_[q, beams[q][near[q]]], threshold) if close[q] else np.zeros(0, np.int64)
             yield q, got[got != q]
 
     def exact(queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notewright.llm.embedding_dedup import op3_embedding_dedup
 from notewright.llm.html_extraction import op6_html_extraction
 from notewright.llm.language_id import op4_language_id
 from notewright.llm.mixing import op10_mixing
@@ -17,6 +18,7 @@ from notewright.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
     "op5_token_counts": op5_token_counts,
     "op6_html_extraction": op6_html_extraction,

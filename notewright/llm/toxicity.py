@@ -29,7 +29,9 @@ from notewright.llm.words import WordTable, codes, fit_logistic
 DECAY, REACH, BITS = 0.6, 7, 18
 LANDMARKS = 256
 #: Bounds of the fit: labelled texts of each label, and bytes of each text.
-SAMPLE, LONGEST = 5000, 65_536
+SAMPLE, LONGEST = 3000, 65_536
+#: Words whose subsequences are laid out at once.
+PORTION = 4096
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -86,8 +88,8 @@ def kernel_to(words: list[str], landmarks: list[str]) -> np.ndarray:
     hit = number[i] == g
     out = np.zeros((len(words), len(landmarks)))
     order = np.flatnonzero(hit)
-    for start in range(0, len(order), 200_000):
-        part = order[start : start + 200_000]
+    for start in range(0, len(order), 20_000):
+        part = order[start : start + 20_000]
         np.add.at(out, p[part], v[part, None] * table[i[part]])
     return out
 
@@ -105,8 +107,11 @@ class Model:
     def margins(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0)
-        f, o, w = features(words)
-        m = np.bincount(o, w * self.weights[f], len(words)) + self.constant
+        parts = []
+        for at in range(0, len(words), PORTION):
+            f, o, w = features(words[at : at + PORTION])
+            parts.append(np.bincount(o, w * self.weights[f], len(words[at : at + PORTION])))
+        m = np.concatenate(parts) + self.constant
         return np.where(np.fromiter(map(len, words), np.int64, len(words)) > 1, m, -2.0)
 
 
@@ -139,28 +144,27 @@ def suspicious_words(texts: list[str], toxic: np.ndarray) -> tuple[list[str], li
 
     A word is counted once for each surrounding (the words before and after it) and text label.
     """
-    seen: list[dict[str, set[int]]] = [{}, {}]
-    for t, y in zip(texts, toxic, strict=True):
-        words = [p for p in map(plain, units(t)) if len(p) > 1]
-        around = ["", *words, ""]
-        mine = seen[int(y)]
-        for a, w, b in zip(around, words, around[2:], strict=False):
-            mine.setdefault(w, set()).add(hash((a, b)))
-    clean, bad = ({w: len(s) for w, s in x.items()} for x in seen)
-    total_bad, total_clean = max(1, sum(bad.values())), max(1, sum(clean.values()))
-    rate = total_bad / (total_bad + total_clean)
-    tests = max(1, len(bad))
-    found = []
-    for w, a in bad.items():
-        b = clean.get(w, 0)
-        if a < 3 or a / (a + b) < max(0.5, 3 * rate):
-            continue
-        # Chernoff's bound of the binomial tail.
-        n, p = a + b, a / (a + b)
-        log_tail = -n * (p * np.log(p / rate) + ((1 - p) * np.log((1 - p) / (1 - rate)) if p < 1 else 0.0))
-        if log_tail < np.log(0.05 / tests):
-            found.append(w)
-    return sorted(found), sorted(clean)
+    number: dict[str, int] = {}
+    ids, around = [], []
+    for t in texts:
+        mine = np.fromiter((number.setdefault(w, len(number)) for w in map(plain, units(t)) if len(w) > 1), np.int64, -1)
+        padded = np.r_[-1, mine, -1].astype(np.uint64)
+        ids.append(mine)
+        around.append((padded[:-2] * A) ^ (padded[2:] * B))
+    if not number:
+        return [], []
+    owner = np.repeat(toxic.astype(np.int64), [len(i) for i in ids])
+    rows = np.unique(np.rec.fromarrays([np.concatenate(ids), owner, np.concatenate(around)], names="word,toxic,around"))
+    bad, clean = (np.bincount(rows["word"][rows["toxic"] == y], minlength=len(number)) for y in (1, 0))
+    rate = max(1, bad.sum()) / max(2, bad.sum() + clean.sum())
+    # Chernoff's bound of the binomial tail, against all words at once.
+    n = np.maximum(bad + clean, 1)
+    p = bad / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        tail = -n * (np.where(p > 0, p * np.log(p / rate), 0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - rate)), 0))
+    found = (bad >= 3) & (p >= max(0.5, 3 * rate) if rate < 1 / 3 else p > 0.99) & (tail < np.log(0.05 / max(1, (bad > 0).sum())))
+    names = np.array(list(number), object)
+    return sorted(names[found]), sorted(names[clean > 0])
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 400) -> np.ndarray:
@@ -196,8 +200,8 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 8
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    negative = pick(clean, 8000)
-    pool = pick(clean, 150_000)
+    negative = pick(clean, 6000)
+    pool = pick(clean, 60_000)
     f, o, w = features(landmarks)
     for _ in range(4):
         words = bad + negative
