@@ -1,12 +1,76 @@
-"""The corpus pipeline: five stages over documents, each a Spark job of its own."""
+"""The corpus pipeline: toxicity, language, near-duplicates, mixing to target weights, packing.
+
+Each stage is a function of (spark, docs, sf_dir) that works on all its predecessor kept; each result
+is written as Parquet to the shared folder and read again, so a stage never recomputes another and a
+lost executor costs one stage's tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from notewright.llm import common, language_id, mixing, near_dedup, packing, toxicity
+
+#: Ids that are broadcast to take rows out; a larger set is joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model predicts toxic go.  The model learns the labelled documents
+    of the contract's training fold."""
+    labels = common.table(spark, sf_dir, "labels").where(~toxicity.held_out())
+    return toxicity.clean(docs, toxicity.fit(docs, labels))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in none of the languages learned, go."""
+    models = language_id.fit(docs.where(~F.coalesce(language_id.held_out(), F.lit(False))))
+    return language_id.accepted(docs, models)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the least id."""
+    found = near_dedup.near_duplicates(docs)
+    found = common.Tables(spark, "groups").put("found", found.select("doc_id", "kept"))
+    dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
+    again = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+
+    def bounded(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+    out = bounded(dropped.unionByName(again))
+    single = docs.join(out, "doc_id", "left_anti")
+    # Rows that repeat a kept id: one of them stays.
+    repeated = docs.join(bounded(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return single.unionByName(repeated).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as it is taken."""
+    return mixing.mixed_documents(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("language_id", language_stage),
+    ("near_dedup", near_dedup_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: Models, hashes and packing are not SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = common.table(spark, sf_dir, "documents")
+    tables = common.Tables(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        docs = tables.put(name, stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

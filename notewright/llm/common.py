@@ -101,3 +101,15 @@ def by_batch(fn: Callable[[pa.RecordBatch], dict[str, object]], schema: pa.Schem
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array | pa.ChunkedArray) else columns[f.name] for f in schema], schema=schema)
 
     return run
+
+
+def filtered(docs: DataFrame, text: str, keep: Callable[[list[str]], object]) -> DataFrame:
+    """The rows of ``docs`` whose text ``keep`` approves, with all their columns; ``keep`` gets a batch
+    of texts (null as empty) and returns a mask."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(keep(texts_of(batch.column(at))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

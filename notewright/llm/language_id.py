@@ -252,6 +252,21 @@ def predict(docs: DataFrame, models: Models, text: str = "text", keep: tuple[str
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "lang_pred", "score", "entropy", "accepted")
 
 
+def accepted(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
+    """The rows whose text is accepted, with all their columns."""
+    common.small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
+    mark = id(shared)
+
+    def keep(texts: list[str]) -> np.ndarray:
+        if mark not in _judges:
+            _judges.clear()
+            _judges[mark] = Judge(shared.value)
+        return _judges[mark].judge(texts)[3]
+
+    return common.filtered(docs, text, keep)
+
+
 def held_out():
     return F.pmod(common.crc_of(F.col("doc_id")), F.lit(4)) == 2
 

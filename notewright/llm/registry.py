@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from notewright.llm.chat_format import OP1_SQL, op1_chat_format
 from notewright.llm.embedding_dedup import op3_embedding_dedup
 from notewright.llm.html_extraction import op6_html_extraction
 from notewright.llm.language_id import op4_language_id
@@ -17,6 +18,7 @@ from notewright.llm.token_counts import op5_token_counts
 from notewright.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_packing": op2_packing,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_language_id": op4_language_id,
@@ -27,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL}

@@ -273,6 +273,21 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns."""
+    common.small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of 2**BITS numbers
+    mark = id(shared)
+
+    def keep(texts: list[str]) -> np.ndarray:
+        if mark not in _scorers:
+            _scorers.clear()
+            _scorers[mark] = Scorer(shared.value)
+        return _scorers[mark].score(texts) < 0.5
+
+    return common.filtered(docs, text, keep)
+
+
 def held_out():
     return F.coalesce(F.pmod(common.crc_of(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
 
