@@ -61,6 +61,18 @@ class Tables:
             path.getFileSystem(conf).delete(path, True)
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one thing at a time, so that an operator's tables go
+    when the next operator's tasks come."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
 def crc_of(col: Column) -> Column:
     """CRC-32 of an id's decimal text, as the folds of the contracts use it."""
     return F.crc32(col.cast("string"))

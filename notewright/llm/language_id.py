@@ -8,6 +8,7 @@ wins; a text whose cross-entropy is beyond what calibration texts of its length
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -221,9 +222,6 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     return calibrate(train(learn), check)
 
 
-_judges: dict[int, Judge] = {}
-
-
 def predict(docs: DataFrame, models: Models, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``lang_pred, score, entropy, accepted`` for each row, in one narrow pass.
 
@@ -234,17 +232,14 @@ def predict(docs: DataFrame, models: Models, text: str = "text", keep: tuple[str
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(models)  # bounded by the sample
-    mark = id(shared)
+    mark = uuid.uuid4().hex
     kept = [to_arrow_type(docs.schema[c].dataType) for c in keep]
     names = [f"keep_{i}" for i in range(len(keep))]
     schema = pa.schema([*zip(names, kept, strict=True), ("lang_pred", pa.string()), ("score", pa.float64()), ("entropy", pa.float64()), ("accepted", pa.bool_())])
     ddl = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), "lang_pred string, score double, entropy double, accepted boolean"])
 
     def judged(batch: pa.RecordBatch) -> dict[str, object]:
-        if mark not in _judges:
-            _judges.clear()
-            _judges[mark] = Judge(shared.value)
-        lang, score, entropy, accepted = _judges[mark].judge(common.texts_of(batch.column(len(keep))))
+        lang, score, entropy, accepted = common.held(("languages", mark), lambda: Judge(shared.value)).judge(common.texts_of(batch.column(len(keep))))
         return {n: batch.column(i) for i, n in enumerate(names)} | {"lang_pred": lang, "score": score, "entropy": entropy, "accepted": accepted}
 
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("text"))
@@ -256,13 +251,10 @@ def accepted(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """The rows whose text is accepted, with all their columns."""
     common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
-    mark = id(shared)
+    mark = uuid.uuid4().hex
 
     def keep(texts: list[str]) -> np.ndarray:
-        if mark not in _judges:
-            _judges.clear()
-            _judges[mark] = Judge(shared.value)
-        return _judges[mark].judge(texts)[3]
+        return common.held(("languages", mark), lambda: Judge(shared.value)).judge(texts)[3]
 
     return common.filtered(docs, text, keep)
 

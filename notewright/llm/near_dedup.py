@@ -36,11 +36,9 @@ BLOCK = 512
 #: Ids that are broadcast to fetch texts; beyond, documents are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
-_shinglers: dict[int, shingles.Shingler] = {}
-
 
 def _shingler(width: int) -> shingles.Shingler:
-    return _shinglers.setdefault(width, shingles.Shingler(width))
+    return common.held(("shingles", width), lambda: shingles.Shingler(width))
 
 
 def sketch(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:

@@ -8,6 +8,7 @@ is one number that is computed once; word pairs are looked up by hash.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -216,7 +217,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return train([texts[i] for i in order], good[order], weight[order])
 
 
-_scorers: dict[int, Scorer] = {}
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -229,16 +229,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # three tables of 2**BITS numbers
-    mark = id(shared)
+    mark = uuid.uuid4().hex
     names = [f"keep_{i}" for i in range(len(keep))]
     schema = pa.schema([*zip(names, [to_arrow_type(docs.schema[c].dataType) for c in keep], strict=True), *((c, pa.int64()) for c in COUNTS), ("quality", pa.float64())])
     ddl = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), *(f"{c} long" for c in COUNTS), "quality double"])
 
     def scored(batch: pa.RecordBatch) -> dict[str, object]:
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = Scorer(shared.value)
-        found = _scorers[mark].texts(common.texts_of(batch.column(len(keep))))
+        found = common.held(("quality", mark), lambda: Scorer(shared.value)).texts(common.texts_of(batch.column(len(keep))))
         return {n: batch.column(i) for i, n in enumerate(names)} | {c: found[c] for c in COUNTS} | {"quality": found["probability"]}
 
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("text"))

@@ -13,6 +13,8 @@ WIDTH = 5
 #: Buckets of a sketch; a register has the leading zeros of the least hash of its bucket and the
 #: ``MANTISSA`` bits after its first one.
 BUCKETS, MANTISSA, ZEROS_MOST = 256, 10, 62
+#: Words are cheap to hash, so few are remembered.
+REMEMBERED_CHARS = 4 << 20
 U = np.uint64
 
 
@@ -25,7 +27,7 @@ class Shingler:
     """Distinct shingles of texts as sorted 64-bit hashes; words are hashed once for each worker."""
 
     def __init__(self, width: int = WIDTH):
-        self.words, self.width = WordTable(word_rows, 1), width
+        self.words, self.width = WordTable(word_rows, 1, REMEMBERED_CHARS), width
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """A-Z in lower case, words between ASCII white space; fewer words than a shingle has are one

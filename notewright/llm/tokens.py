@@ -25,6 +25,8 @@ import json
 import os
 import re
 
+from notewright.llm import common
+
 #: The split pattern of byte-level BPE of this vocabulary family.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Everything that any of the regex engines at hand takes for white space.
@@ -140,12 +142,6 @@ class Chunks(dict):
         return out
 
 
-_made: dict[tuple[str, bool], Chunks] = {}
-
-
 def worker_chunks(path: str, whole: dict[str, int], ids: bool) -> Chunks:
     """One table for each Python worker: it serves all tasks that the worker runs."""
-    if (path, ids) not in _made:
-        _made.clear()
-        _made[path, ids] = Chunks(path, whole, ids)
-    return _made[path, ids]
+    return common.held(("chunks", path, ids), lambda: Chunks(path, whole, ids))

@@ -15,6 +15,7 @@ binomial test.  A text's score is a calibrated logistic function of its worst wo
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -244,9 +245,6 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     return train([texts[i] for i in order], toxic[order], weight[order])
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, ``score`` and ``predicted``, in one narrow pass.
 
@@ -257,16 +255,13 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     spark = docs.sparkSession
     common.small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # one table of 2**BITS numbers
-    mark = id(shared)
+    mark = uuid.uuid4().hex
     names = [f"keep_{i}" for i in range(len(keep))]
     schema = pa.schema([*zip(names, [to_arrow_type(docs.schema[c].dataType) for c in keep], strict=True), ("score", pa.float64())])
     ddl = ", ".join([*(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)), "score double"])
 
     def scored(batch: pa.RecordBatch) -> dict[str, object]:
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = Scorer(shared.value)
-        return {n: batch.column(i) for i, n in enumerate(names)} | {"score": _scorers[mark].score(common.texts_of(batch.column(len(keep))))}
+        return {n: batch.column(i) for i, n in enumerate(names)} | {"score": common.held(("toxicity", mark), lambda: Scorer(shared.value)).score(common.texts_of(batch.column(len(keep))))}
 
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.col(text).alias("text"))
     out = rows.mapInArrow(common.by_batch(scored, schema), ddl)
@@ -277,13 +272,10 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
     common.small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one table of 2**BITS numbers
-    mark = id(shared)
+    mark = uuid.uuid4().hex
 
     def keep(texts: list[str]) -> np.ndarray:
-        if mark not in _scorers:
-            _scorers.clear()
-            _scorers[mark] = Scorer(shared.value)
-        return _scorers[mark].score(texts) < 0.5
+        return common.held(("toxicity", mark), lambda: Scorer(shared.value)).score(texts) < 0.5
 
     return common.filtered(docs, text, keep)
 

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-REMEMBERED_CHARS = 24 << 20
+REMEMBERED_CHARS = 16 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -19,8 +19,8 @@ class WordTable:
     """Rows of numbers by word.  ``compute`` gives the rows of new words; what is remembered is
     bounded by characters, and forgotten between batches."""
 
-    def __init__(self, compute: Callable[[list], np.ndarray], width: int):
-        self.compute, self.width = compute, width
+    def __init__(self, compute: Callable[[list], np.ndarray], width: int, most_chars: int = REMEMBERED_CHARS):
+        self.compute, self.width, self.most_chars = compute, width, most_chars
         self.forget()
 
     def forget(self) -> None:
@@ -30,7 +30,7 @@ class WordTable:
 
     def ids(self, texts: Sequence[Sequence]) -> list[np.ndarray]:
         """For each list of words the places of its words in ``rows``."""
-        if self.chars > REMEMBERED_CHARS:
+        if self.chars > self.most_chars:
             self.forget()
         fresh: set = set()
         for words in texts:
