@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tempfile
@@ -78,13 +79,19 @@ def stats(planned: DataFrame) -> DataFrame:
 
 
 def existing_files(spark, root: str) -> DataFrame:
-    """Files under a root that executors share, with their hashes."""
-    base = Path(root)
-    if not any(p.is_file() for p in base.rglob("*")):
-        return spark.createDataFrame([], "path string, hash string")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(root)
-    relative = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), f"^file:/*{base.resolve().as_posix().lstrip('/')}/", "")
-    return found.select(relative.alias("path"), F.sha2("content", 256).alias("hash"))
+    """``path, hash`` of the files under a root that executors share.
+
+    Names hold colons, which Hadoop's local file system refuses, so plain reads hash them; the driver
+    only lists names.
+    """
+    names = ((os.path.relpath(os.path.join(d, n), root),) for d, _, files in os.walk(root) for n in files)
+    rows = spark.createDataFrame(list(names), "path string")
+
+    def hashed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(hash=[hashlib.sha256(Path(root, p).read_bytes()).hexdigest() for p in batch["path"]])
+
+    return rows.mapInPandas(hashed, "path string, hash string")
 
 
 def write_atomic(path: str, content: str) -> bool:
@@ -114,7 +121,7 @@ def project(notes: DataFrame, clusters: DataFrame, model: ModelInfo, root: str)
     marker = base / DIRTY
     write_atomic(str(marker), "dirty\n")
     desired = artifacts(notes, clusters, model)
-    existing = existing_files(notes.sparkSession, root).where(F.col("path") != DIRTY)
+    existing = existing_files(notes.sparkSession, root).where(~F.col("path").startswith("_meta/") | F.col("path").startswith("_meta/embeddings/"))
     planned = plan(desired, existing).persist()
     result = stats(planned).first().asDict()
 
