@@ -1,8 +1,9 @@
 """Operator 1: tool calls and their results, linked, ordered, validated and written as canonical JSON.
 
 Calls and results are hash-joined by conversation and identifier.  The order of calls is topological:
-level by level, calls whose prerequisites are done are peeled off, as DataFrame rounds over narrow
-rows, so a conversation of any size is never gathered in one task.  Arguments are checked against a
+level by level, calls whose prerequisites are done are peeled off.  Conversations of up to
+``GATHERED`` calls are peeled as a stream of identifiers, one conversation in memory at a time; larger
+ones by DataFrame rounds over narrow rows, so a conversation of any size is never gathered in one task.  Arguments are checked against a
 JSON schema by name.  Canonical JSON has sorted keys, no white space, and escapes only where JSON
 needs them.
 """
@@ -10,7 +11,7 @@ needs them.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,8 @@ from notewright.llm import common
 
 #: JSON schema types and the Python types that they admit.
 TYPES = {"object": dict, "array": list, "string": str, "integer": int, "number": (int, float), "boolean": bool, "null": type(None)}
-DEEPEST = 200
+#: Calls of a conversation that a task may hold (identifiers only).
+GATHERED = 100_000
 
 
 def canonical(value: object) -> str:
@@ -89,28 +91,83 @@ def json_text(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("null")).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
-def levels(calls: DataFrame, tables: common.Tables, deepest: int = DEEPEST) -> DataFrame:
-    """``conv_id, call_id, level``: 0 for calls without a prerequisite among the calls, else one more
-    than the latest of them; null for calls in or behind a cycle, or deeper than ``deepest``."""
+def peeled(needs: Mapping[str, list[str]]) -> dict[str, int]:
+    """Levels of the calls of one conversation; calls in or behind a cycle are left out."""
+    waits = {c: {x for x in after if x in needs} for c, after in needs.items()}
+    behind: dict[str, list[str]] = {}
+    for c, after in waits.items():
+        for x in after:
+            behind.setdefault(x, []).append(c)
+    left = {c: len(after) for c, after in waits.items()}
+    level, ready, out = 0, [c for c, n in left.items() if not n], {}
+    while ready:
+        out.update(dict.fromkeys(ready, level))
+        freed = []
+        for c in ready:
+            for d in behind.get(c, ()):
+                left[d] -= 1
+                if not left[d]:
+                    freed.append(d)
+        ready, level = freed, level + 1
+    return out
+
+
+def _gathered_levels(calls: DataFrame) -> DataFrame:
+    kinds = {c: calls.schema[c].dataType.simpleString() for c in ("conv_id", "call_id")}
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, needs = None, {}
+
+        def flush() -> pd.DataFrame:
+            found = peeled(needs)
+            return pd.DataFrame({"conv_id": [now] * len(needs), "call_id": list(needs), "level": pd.array([found.get(c) for c in needs], "Int64")})
+
+        for batch in batches:
+            done = []
+            for conv, call, after in zip(batch["conv_id"], batch["call_id"], batch["after"], strict=True):
+                if conv != now:
+                    if needs:
+                        done.append(flush())
+                    now, needs = conv, {}
+                needs[call] = list(after)
+            if done:
+                yield pd.concat(done, ignore_index=True)
+        if needs:
+            yield flush()
+
+    rows = calls.select("conv_id", "call_id", "after").repartition("conv_id").sortWithinPartitions("conv_id", "call_id")
+    return rows.mapInPandas(run, f"conv_id {kinds['conv_id']}, call_id {kinds['call_id']}, level long")
+
+
+def _round_levels(calls: DataFrame, tables: common.Tables) -> DataFrame:
     nodes = tables.put("nodes", calls.select("conv_id", "call_id").distinct())
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("needs")).distinct()
     known = nodes.select("conv_id", F.col("call_id").alias("needs"))
     left = tables.put("edges-0", edges.join(known, ["conv_id", "needs"], "left_semi"))
-    todo, done = nodes, None
-    for level in range(deepest):
+    todo, done, level = nodes, None, 0
+    while True:
         waiting = tables.put(f"todo-{level + 1}", left.select("conv_id", "call_id").distinct())
-        ready = tables.put(f"ready-{level}", todo.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
+        ready = tables.put(f"ready-{level}", todo.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")))
         done = ready if done is None else done.unionByName(ready)
         if left.limit(1).count() == 0 or ready.limit(1).count() == 0:
             break
         freed = ready.select("conv_id", F.col("call_id").alias("needs"))
         left = tables.put(f"edges-{level + 1}", left.join(freed, ["conv_id", "needs"], "left_anti"))
         tables.drop(f"edges-{level}", *([f"todo-{level}"] if level else []))
-        todo = waiting
+        todo, level = waiting, level + 1
     return nodes.join(done, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "level")
 
 
-def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], deepest: int = DEEPEST) -> DataFrame:
+def levels(calls: DataFrame, tables: common.Tables, gathered: int = GATHERED) -> DataFrame:
+    """``conv_id, call_id, level``: 0 for calls without a prerequisite among the calls, else one more
+    than the latest of them; null for calls in or behind a cycle.  A call is here once."""
+    large = tables.put("large", calls.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > gathered).select("conv_id"))
+    if not large.limit(1).count():
+        return _gathered_levels(calls)
+    return _gathered_levels(calls.join(large, "conv_id", "left_anti")).unionByName(_round_levels(calls.join(large, "conv_id", "left_semi"), tables))
+
+
+def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mapping], gathered: int = GATHERED) -> DataFrame:
     """Links ``calls`` (conv_id, call_id, turn, name, arguments, after) with ``results`` (conv_id,
     call_id, turn, content).
 
@@ -127,7 +184,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str, Mappi
     calls = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(own).alias("c"))
     calls = tables.put("calls", calls.select("conv_id", "call_id", "c.*"))
     results = results.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    level = levels(calls, tables, deepest)
+    level = levels(calls, tables, gathered)
     ordered = tables.put("ordered", calls.join(level, ["conv_id", "call_id"]))
     # Position: calls of lower levels, then the place within the level.
     many = ordered.groupBy("conv_id", "level").agg(F.count(F.lit(1)).alias("n"))
