@@ -33,8 +33,8 @@ PERCENT = 75
 BAND = 5
 #: Classes of a block of step 4.
 BLOCK = 512
-#: Ids that are broadcast to fetch texts; beyond, documents are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Ids (8 bytes each) that are broadcast to fetch texts; beyond, documents are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def _shingler(width: int) -> shingles.Shingler:
@@ -113,11 +113,14 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def texts_for(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
     """``text`` with the columns of ``wanted``, whose column ``rep`` names the document.
 
-    A bounded number of ids is broadcast; a larger one is joined by a shuffle.
+    A bounded number of bare ids is broadcast to leave out all other texts before the shuffle; with
+    more ids the documents are joined by a shuffle.
     """
-    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = wanted.select("rep").distinct()
     rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    return rows.join(F.broadcast(wanted) if small else wanted, "rep")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(ids), "rep", "left_semi")
+    return rows.join(wanted, "rep")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
