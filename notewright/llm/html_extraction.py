@@ -151,6 +151,20 @@ def repeated(words: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
+def unique_words(block: list[str], covered: list[bool], run: int = RUN) -> list[str]:
+    """The words of a block but for covered stretches.  A run that only reaches into a block, for less
+    than a run's length, takes nothing from it."""
+    kept, at = [], 0
+    while at < len(block):
+        end = at + 1
+        while end < len(block) and covered[end] == covered[at]:
+            end += 1
+        if not covered[at] or (end - at < run and end - at < len(block)):
+            kept += block[at:end]
+        at = end
+    return kept
+
+
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -206,7 +220,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             if not r["has_article"]:
                 kept, i = [], 0
                 for b, marked in zip(s, r["marked"], strict=True):
-                    rest = [] if marked else [w for w, c in zip(b, mine[i : i + len(b)].tolist(), strict=True) if not c]
+                    rest = [] if marked else unique_words(b, mine[i : i + len(b)].tolist())
                     i += len(b)
                     if rest:
                         kept.append(" ".join(rest))

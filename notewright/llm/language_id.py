@@ -72,7 +72,7 @@ class Models:
                 known = self.contexts[n][j] == c
                 total[left[known]] += self.backoff[n][j[known]]
             else:
-                total[left] += self.unseen
+                total[left] += self.backoff[1][0] + self.unseen
         for lang in range(k):
             out[:, lang] = np.bincount(owner[real], total[:, lang], len(words))
         out[:, k] = np.bincount(owner[real], minlength=len(words))
@@ -103,7 +103,8 @@ def _counts(words: dict[str, int]) -> list[tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def train(texts: dict[str, list[str]]) -> Models:
-    """Counts the models; ``texts`` by language."""
+    """Counts the models; ``texts`` by language.  Without any, all is undetermined."""
+    texts = texts or {UNDETERMINED: []}
     languages = sorted(texts)
     per = []
     for lang in languages:

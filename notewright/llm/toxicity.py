@@ -141,7 +141,8 @@ class Scorer:
 
 
 def suspicious_words(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[str]]:
-    """Words that toxic texts hold more often than chance allows, and words of clean texts.
+    """Words that toxic texts hold more often than chance allows, and words of clean texts, the most
+    frequent first.
 
     A word is counted once for each surrounding (the words before and after it) and text label.
     """
@@ -165,7 +166,8 @@ def suspicious_words(texts: list[str], toxic: np.ndarray) -> tuple[list[str], li
         tail = -n * (np.where(p > 0, p * np.log(p / rate), 0) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - rate)), 0))
     found = (bad >= 3) & (p >= max(0.5, 3 * rate) if rate < 1 / 3 else p > 0.99) & (tail < np.log(0.05 / max(1, (bad > 0).sum())))
     names = np.array(list(number), object)
-    return sorted(names[found]), sorted(names[clean > 0])
+    order = np.argsort(-clean, kind="stable")
+    return sorted(names[found]), list(names[order[clean[order] > 0]])
 
 
 def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0, rounds: int = 400) -> np.ndarray:
@@ -202,7 +204,8 @@ def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 8
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
     negative = pick(clean, 6000)
-    pool = pick(clean, 60_000)
+    # The words that clean texts hold most often, and some of the rest.
+    pool = sorted(set(clean[:40_000]) | set(pick(clean, 40_000)) - set(bad))
     f, o, w = features(landmarks)
     for _ in range(4):
         words = bad + negative
