@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -37,11 +39,21 @@ def held(key: object, make: Callable[[], object]) -> object:
     """What a Python worker keeps between tasks: one thing at a time, so that an operator's tables go
     when the next operator's tasks come."""
     if key not in _held:
-        _held.clear()
+        if _held:
+            _held.clear()
+            _give_back()
         _held[key] = make()
     return _held[key]
 
 
+def _give_back() -> None:
+    """Returns freed memory to the machine, where the C library can: workers outlive operators."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def crc_of(col: Column) -> Column:
     """CRC-32 of an id's decimal text, as the folds of the contracts use it."""
     return F.crc32(col.cast("string"))

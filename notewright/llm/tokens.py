@@ -34,7 +34,7 @@ SPACES = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u180e\\u2000-\\u200a\\u2028\\u202
 #: A run that a cut could break: a space between spaces, or after one at the end of the text.
 RUN = re.compile(f"[{SPACES}]{{3}}|[{SPACES}]{{2}}\\Z")
 #: Characters of chunks that a worker remembers before it forgets all and starts again.
-REMEMBERED_CHARS = 28 << 20
+REMEMBERED_CHARS = 14 << 20
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:

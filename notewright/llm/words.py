@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-REMEMBERED_CHARS = 16 << 20
+REMEMBERED_CHARS = 6 << 20
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
