@@ -1,7 +1,11 @@
 """Operator 3: near-duplicate vectors by a robust-pruned flat graph.
 
 *Regions.*  Equal vectors are one class first.  Centres fitted on a bounded sample deal the classes
-into regions of bounded size, each class into its two nearest ones, so regions overlap.
+into regions: a class is at home with its nearest centre, and visits every region of a lower number
+that can be home to a vector in range of it.  That is proven, not sampled: a vector is no further from
+any vector at home elsewhere than from the plane between the two centres.  So each pair in range meets
+in the lower one of its two homes.  How many centres there are is what makes the least work on the
+sample; vectors that centres do not separate are one region, whose blocks are all searched.
 
 *In a region* (one task, some thousands of vectors) the classes are clustered again into small
 overlapping shards.  In each shard the nearest neighbours of a vector are pruned by the robust rule (a
@@ -9,10 +13,12 @@ neighbour goes if another kept one is nearer to it by the factor ``ALPHA``); the
 lists are united, with their reverse links, into one flat graph.  Every vector is then searched for:
 a greedy beam search starts at the nearest shards' medoids; what the searches find close by is linked
 too, and then each one's finds are expanded along the graph until no further vector is in range.  Every link is verified by its cosine in double
-precision.  A bounded sample of vectors audits the region by brute force; a region with a miss is
-searched exactly, in blocks.
+precision.  A bounded sample of vectors audits the region by brute force, half of it vectors with
+something close by; a region with a miss is searched exactly, in blocks.  In the end a bounded sample
+of classes, most of them with links, is held against all classes of the table; if one of these misses
+a link, all regions are searched exactly.
 
-*Nothing quadratic is written.*  A link is counted in the first region that holds both of its ends, so
+*Nothing quadratic is written.*  A link is counted in the lower one of its ends' homes, so
 each region gives one row for each of its classes: how many links it counts, and the least class
 that it is connected with there.  Components follow from these.
 """
@@ -33,8 +39,12 @@ from notewright.llm import common
 from notewright.llm.components import components
 
 THRESHOLD = 0.95
-#: Classes of a region before overlap, regions of a class, and the most that a region's index holds.
+#: Classes of a region before overlap, shards of a vector, and the most that a region's index holds.
 REGION, OVERLAP, MOST = 4000, 2, 24_000
+#: Sampled vectors that the work of a number of centres is told from, and what moving a vector costs in comparisons.
+TRIED, MOVED = 4000, 2000
+#: Classes with links, and without, that are held against the whole table.
+LINKED, LONELY = 192, 64
 #: Bounds of the sample that centres are fitted on: vectors, and numbers in all.
 SAMPLE, SAMPLE_NUMBERS, MOST_CENTRES = 20_000, 4_000_000, 2048
 SHARD, NEIGHBOURS, DEGREE, ALPHA = 96, 24, 12, 1.2
@@ -79,6 +89,45 @@ def nearest(v: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+class Dealing:
+    """To which regions a vector goes: its home, and lower regions that may be home to one in range."""
+
+    def __init__(self, c: np.ndarray, threshold: float):
+        self.c = c
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+        # No vector further from a plane through the origin has one in range on the other side.
+        self.margin = (math.sqrt(max(0.0, 1 - threshold * threshold)) if threshold > 0 else 2.0) * apart + 1e-7
+
+    def __call__(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The home of each vector; and pairs of a vector's row and a region, the home among them."""
+        homes, rows, regions = [], [], []
+        for i in range(0, len(v), 1024):
+            s = v[i : i + 1024] @ self.c.T
+            home = s.argmax(1)
+            meets = s[np.arange(len(s)), home][:, None] - s <= self.margin[home]
+            meets &= np.arange(len(self.c)) <= home[:, None]
+            row, region = np.nonzero(meets)
+            homes.append(home)
+            rows.append(row + i)
+            regions.append(region)
+        return np.concatenate(homes), np.concatenate(rows), np.concatenate(regions)
+
+
+def dealing(sample: np.ndarray, n: int, threshold: float, dim: int) -> Dealing:
+    """The dealing of the least work among some numbers of centres, one centre among them."""
+    tried = sample[:: max(1, len(sample) // TRIED)]
+    best, least = Dealing(np.zeros((1, dim)), threshold), n * n + MOVED * n * (math.ceil(2 * n / MOST) if n > MOST else 1)
+    k = min(math.ceil(n / REGION), MOST_CENTRES, len(sample) // 8)
+    while k > 1:
+        found = Dealing(centres(sample, k, seed=3), threshold)
+        sizes = np.bincount(found(tried)[2], minlength=k) * (n / len(tried))
+        work = float((sizes * sizes + MOVED * sizes * np.where(sizes > MOST, np.ceil(2 * sizes / MOST), 1)).sum())
+        if work < least:
+            best, least = found, work
+        k //= 4
+    return best
+
+
 def pruned(v: np.ndarray) -> np.ndarray:
     """Robust-pruned adjacency of a shard's vectors, ``DEGREE`` columns, -1 where there is none."""
     n = len(v)
@@ -186,8 +235,22 @@ class Graph:
         return np.concatenate(inside) if inside else np.zeros(0, np.int64)
 
 
-def region_links(v: np.ndarray, threshold: float, targets: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
-    """For each vector of a region the vectors linked with it (itself left out)."""
+def region_links(v: np.ndarray, threshold: float, blocks: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+    """For each vector of a region the vectors linked with it (itself left out); with ``blocks`` by
+    brute force."""
+
+    def exact(queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        for at in range(0, len(queries), 512):
+            part = queries[at : at + 512]
+            row, col = np.nonzero(v[part] @ v.T >= threshold)
+            starts = np.searchsorted(row, np.arange(len(part) + 1))
+            for i, q in enumerate(part):
+                got = col[starts[i] : starts[i + 1]]
+                yield int(q), got[got != q]
+
+    if blocks:
+        yield from exact(np.arange(len(v)))
+        return
     graph = Graph(v)
     everyone = np.arange(len(v))
     beams = np.concatenate([graph.greedy(everyone[at : at + 1024]) for at in range(0, len(v), 1024)])
@@ -207,23 +270,36 @@ def region_links(v: np.ndarray, threshold: float, targets: np.ndarray | None = N
             got = graph.expand(q, np.r_[q, beams[q][near[q]]], threshold) if close[q] else np.zeros(0, np.int64)
             yield q, got[got != q]
 
-    def exact(queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        for at in range(0, len(queries), 512):
-            part = queries[at : at + 512]
-            row, col = np.nonzero(v[part] @ v.T >= threshold)
-            starts = np.searchsorted(row, np.arange(len(part) + 1))
-            for i, q in enumerate(part):
-                got = col[starts[i] : starts[i + 1]]
-                yield int(q), got[got != q]
-
-    audit = np.unique(np.linspace(0, len(v) - 1, min(AUDIT, len(v))).astype(np.int64))
+    spread = lambda of: of[np.linspace(0, len(of) - 1, min(AUDIT, len(of))).astype(np.int64)]
+    audit = np.unique(np.r_[spread(everyone), spread(np.flatnonzero(close))])
     truth = dict(exact(audit))
     good = all(len(got) == len(truth[q]) for q, got in search(audit))
     yield from (search if good else exact)(np.arange(len(v)))
 
 
-def region_rows(digests: list[bytes], v: np.ndarray, copies: np.ndarray, regions: np.ndarray, region: int, threshold: float) -> tuple[list[int], list[bytes]]:
-    """For each class of a region: links that this region counts, and the least class connected here."""
+def part_links(v: np.ndarray, parts: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
+    """For each vector of two parts of a region the vectors of the other part linked with it, by brute
+    force: blocks in single precision with room for its error, what they find in double precision."""
+    if parts.min() == parts.max():
+        return
+    low = v.astype(np.float32)
+    one, two = (np.flatnonzero(parts == p) for p in (parts.min(), parts.max()))
+    for ask, other in ((one, two), (two, one)):
+        to = low[other].T
+        for at in range(0, len(ask), 512):
+            own = ask[at : at + 512]
+            row, col = np.nonzero(low[own] @ to >= np.float32(threshold - 1e-4))
+            ok = [np.einsum("nd,nd->n", v[own[row[i : i + 65_536]]], v[other[col[i : i + 65_536]]]) >= threshold for i in range(0, len(row), 65_536)]
+            ok = np.concatenate(ok) if ok else np.zeros(0, bool)
+            row, col = row[ok], col[ok]
+            starts = np.searchsorted(row, np.arange(len(own) + 1))
+            for i in np.unique(row).tolist():
+                yield int(own[i]), other[col[starts[i] : starts[i + 1]]]
+
+
+def region_rows(digests: list[bytes], v: np.ndarray, copies: np.ndarray, homes: np.ndarray, parts: np.ndarray, region: int, across: bool, threshold: float, blocks: bool) -> tuple[list[int], list[bytes]]:
+    """For each class of a region: links that are counted here, and the least class connected here.
+    With ``across`` only links between the two parts are looked for."""
     parent = list(range(len(v)))
 
     def find(x: int) -> int:
@@ -232,13 +308,11 @@ def region_rows(digests: list[bytes], v: np.ndarray, copies: np.ndarray, regions
         return x
 
     links = [0] * len(v)
-    for q, got in region_links(v, threshold):
+    for q, got in part_links(v, parts, threshold) if across else region_links(v, threshold, blocks):
         if not len(got):
             continue
-        # The first region that holds both ends counts the link.
-        shared = (regions[got][:, :, None] == regions[q][None, None, :]).any(2)
-        first = np.where(shared, regions[got], np.iinfo(np.int64).max).min(1)
-        links[q] = int(copies[got][first == region].sum())
+        # The lower one of the homes counts the link.
+        links[q] = int(copies[got][np.minimum(homes[got], homes[q]) == region].sum())
         for x in got.tolist():
             a, b = find(q), find(x)
             if a != b:
@@ -271,11 +345,14 @@ def near_vectors(vectors: DataFrame, vector: str = "embedding", key: str = "vec_
     classes = tables.put("classes", good.groupBy("digest", "dim", "unit").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")))
     found = None
     for dim, n in sorted(tuple(r) for r in classes.groupBy("dim").count().collect()):
-        part = _dimension(classes.where(F.col("dim") == dim), dim, n, threshold, tables)
+        own = classes.where(F.col("dim") == dim)
+        dealt = _dealt(own, dim, n, threshold, tables)
+        part = tables.put(f"found-{dim}", _searched(dealt, threshold, blocks=False))
+        if _misses(own, part, threshold):
+            part = tables.put(f"exact-{dim}", _searched(dealt, threshold, blocks=True))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"), F.lit(True).alias("kept"))
-    found = tables.put("found", found)
     counted = found.groupBy("digest").agg(F.sum("links").alias("links"))
     roots = components(found.where("digest <> root").select(F.col("digest").alias("a"), F.col("root").alias("b")), tables, "vectors")
     named = classes.select("digest", "rep", "copies").join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
@@ -286,56 +363,51 @@ def near_vectors(vectors: DataFrame, vector: str = "embedding", key: str = "vec_
     return out.select(F.col("key").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
 
 
-def _dimension(classes: DataFrame, dim: int, n: int, threshold: float, tables: common.Tables) -> DataFrame:
-    """``digest, links, root`` of the classes of one vector length, a row for each region."""
+def _dealt(classes: DataFrame, dim: int, n: int, threshold: float, tables: common.Tables) -> DataFrame:
+    """The classes of one vector length, a row for each region and pair of its parts that a class is in."""
     spark = classes.sparkSession
     most = max(1, min(SAMPLE, SAMPLE_NUMBERS // dim))
     taken = classes.where(common.dice(F.col("digest"), seed=3) < min(1.0, most / n)).select("unit").toArrow()["unit"].to_pylist()
     sample = np.array([np.frombuffer(u) for u in taken]).reshape(len(taken), dim)
-    k = min(math.ceil(n / REGION), MOST_CENTRES, max(1, len(sample) // 8))
-    shared = spark.sparkContext.broadcast(centres(sample, k, seed=3) if len(sample) else np.zeros((1, dim)))  # at most MOST_CENTRES vectors
-
-    dealt_schema = pa.schema([("region", pa.int64()), ("regions", pa.list_(pa.int64())), ("digest", pa.binary()), ("unit", pa.binary()), ("copies", pa.int64())])
+    shared = spark.sparkContext.broadcast(dealing(sample, n, threshold, dim).c)  # at most MOST_CENTRES vectors
+    dealt_schema = pa.schema([("region", pa.int64()), ("home", pa.int64()), ("digest", pa.binary()), ("unit", pa.binary()), ("copies", pa.int64())])
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = None
         for batch in batches:
             if not batch.num_rows:
                 continue
+            to = to or Dealing(shared.value, threshold)
             v = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(-1, dim)
-            near = nearest(v, shared.value, OVERLAP)
-            for j in range(near.shape[1]):
-                columns = [pa.array(near[:, j]), pa.array(near.tolist(), pa.list_(pa.int64())), batch.column(0), batch.column(1), batch.column(2)]
+            homes, rows, regions = to(v)
+            for at in range(0, len(rows), 4096):
+                row = rows[at : at + 4096]
+                columns = [pa.array(regions[at : at + 4096]), pa.array(homes[row]), *(batch.column(i).take(pa.array(row)) for i in range(3))]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, dealt_schema, strict=True)], schema=dealt_schema)
 
-    dealt = classes.select("digest", "unit", "copies").mapInArrow(deal, "region long, regions array<long>, digest binary, unit binary, copies long")
+    dealt = classes.select("digest", "unit", "copies").mapInArrow(deal, "region long, home long, digest binary, unit binary, copies long")
     dealt = tables.put(f"dealt-{dim}", dealt)
-    # Regions that near copies have swollen beyond what an index holds are cut into parts by a hash;
-    # each pair of parts is one task, which counts the links between them.
-    sizes = {r[0]: r[1] for r in dealt.groupBy("region").count().where(F.col("count") > MOST).collect()}
-    parts = F.lit(1)
-    for region, size in sizes.items():
-        parts = F.when(F.col("region") == region, math.ceil(2 * size / MOST)).otherwise(parts)
-    dealt = dealt.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    # Regions beyond what an index holds are cut into parts by a hash;
+    # each pair of parts is one task, which searches the links between them in blocks.
+    sizes = [(r[0], math.ceil(2 * r[1] / MOST)) for r in dealt.groupBy("region").count().where(F.col("count") > MOST).collect()]
+    cut = F.broadcast(spark.createDataFrame(sizes, "region long, cut int"))  # at most MOST_CENTRES rows
+    dealt = dealt.join(cut, "region", "left").withColumn("parts", F.coalesce("cut", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("region", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "parts", "regions", "digest", "unit", "copies")
+    return dealt.select("region", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "home", "digest", "unit", "copies")
+
+
+def _searched(dealt: DataFrame, threshold: float, blocks: bool) -> DataFrame:
+    """``digest, links, root`` of the classes, a row for each region and pair of parts."""
     dealt = dealt.repartition("region", "x", "y").sortWithinPartitions("region", "x", "y", "digest")
     schema = pa.schema([("digest", pa.binary()), ("links", pa.int64()), ("root", pa.binary())])
 
     def finish(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         region, x, y = held[0][:3]
-        v = np.array([np.frombuffer(h[7]) for h in held])
-        copies = np.array([h[8] for h in held], np.int64)
-        regions = np.array([h[5] for h in held], np.int64).reshape(len(held), -1)
-        digests = [h[6] for h in held]
-        links, roots = region_rows(digests, v, copies, regions, region, threshold)
-        if held[0][4] > 1 and x != y:
-            # Links inside a part are counted where the part meets itself.
-            part = np.array([h[3] for h in held])
-            for own in (x, y):
-                mine = np.flatnonzero(part == own)
-                inner, _ = region_rows([digests[i] for i in mine], v[mine], copies[mine], regions[mine], region, threshold)
-                for i, n_inner in zip(mine.tolist(), inner, strict=True):
-                    links[i] -= n_inner
+        v = np.array([np.frombuffer(h[6]) for h in held])
+        parts, homes, copies = (np.array([h[i] for h in held], np.int64) for i in (3, 4, 7))
+        digests = [h[5] for h in held]
+        links, roots = region_rows(digests, v, copies, homes, parts, region, x != y, threshold, blocks)
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(links, pa.int64()), pa.array(roots, pa.binary())], schema=schema)
 
     def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,6 +424,28 @@ def _dimension(classes: DataFrame, dim: int, n: int, threshold: float, tables: c
     return dealt.mapInArrow(grouped, "digest binary, links long, root binary")
 
 
+def _misses(classes: DataFrame, found: DataFrame, threshold: float) -> bool:
+    """Whether any of a bounded sample of classes has links, with all classes of one vector length,
+    that were not found."""
+    counted = found.groupBy("digest").agg(F.sum("links").alias("links"))
+    ask = [counted.where("links > 0").orderBy("digest").limit(LINKED), counted.where("links = 0").orderBy("digest").limit(LONELY)]
+    asked = ask[0].unionByName(ask[1]).join(classes.select("digest", "unit", "copies"), "digest").collect()
+    if not asked:
+        return False
+    q = np.array([np.frombuffer(r["unit"]) for r in asked])
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(q), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                v = np.frombuffer(b"".join(batch.column(0).to_pylist())).reshape(-1, q.shape[1])
+                n += (q @ v.T >= threshold) @ np.array(batch.column(1).to_pylist(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), pa.array(n)], names=["i", "n"])
+
+    truth = classes.select("unit", "copies").mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n")).collect()
+    return any(n - asked[i]["copies"] > asked[i]["links"] for i, n in truth)
+
+
 def audit_recall(vectors: DataFrame, result: DataFrame, vector: str = "embedding", key: str = "vec_id", queries: int = 256, threshold: float = THRESHOLD) -> float:
     """Recall of ``n_links`` against brute force, for a bounded set of query vectors against all rows,
     in blocks."""

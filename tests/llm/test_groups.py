@@ -143,6 +143,38 @@ def test_vector_links_are_those_of_all_pairs(spark, monkeypatch, most):
     assert embedding_dedup.near_vectors(frame.limit(0)).count() == 0
 
 
+def planted(n, dim, spread):
+    """Vectors around some directions, each second one a partner in range of the one before it."""
+    rng = np.random.default_rng(17)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    v = unit(unit(rng.normal(size=(30, dim)))[rng.integers(0, 30, n)] + spread * unit(rng.normal(size=(n, dim))))
+    aside = rng.normal(size=(n, dim))
+    aside = unit(aside - (aside * v).sum(1, keepdims=True) * v)
+    other = 0.951 * v + math.sqrt(1 - 0.951**2) * aside
+    return np.stack([v, other], 1).reshape(-1, dim)
+
+
+@pytest.mark.parametrize("spread", [0.5, 50.0])
+def test_all_vectors_in_range_meet_in_a_region(spread):
+    v = planted(1500, 24, spread)
+    to = embedding_dedup.Dealing(embedding_dedup.centres(v, 40, 3), 0.95)
+    homes, rows, regions = to(v)
+    held = set(zip(rows.tolist(), regions.tolist(), strict=True))
+    for a, b in zip(*np.nonzero(np.triu(v @ v.T >= 0.95, 1)), strict=True):
+        low = min(homes[a], homes[b])
+        assert (a, low) in held and (b, low) in held
+
+
+@pytest.mark.parametrize("spread", [0.5, 50.0])
+def test_vector_links_across_many_regions(spark, monkeypatch, spread):
+    monkeypatch.setattr(embedding_dedup, "REGION", 40)
+    v = planted(800, 24, spread)
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(frame).collect()}
+    near = v @ v.T
+    assert [got[i] for i in range(len(v))] == ((near >= 0.95).sum(1) - 1).tolist()
+
+
 def filled(sizes, weights):
     cap, target, free = [2.0 * s for s in sizes], [0.0] * len(sizes), set(range(len(sizes)))
     budget = 1.5 * sum(sizes)
