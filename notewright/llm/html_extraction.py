@@ -4,8 +4,10 @@ Each page is cut into blocks.  What stands in an article or main element, outsid
 forms and the like, is the article and is kept whole, however often its passages occur elsewhere.
 All other blocks are the page's *surroundings*.  The surroundings of a host's pages are laid end to
 end as one stream of words, a suffix array (sorted as deep as a long run needs) finds the runs of
-words that distinct pages repeat, and covered words are boilerplate.  On pages without an article
-element the surroundings' unique runs are the text, unless their markup marks them as menus, headers,
+words that several distinct pages repeat; copies of a page are one page.  A block that such runs cover
+wholly is boilerplate; a block that holds anything else is kept whole, so a passage that pages share
+is not cut out of their sentences.  On pages without an article element the surroundings' other blocks
+are the text, unless their markup marks them as menus, headers,
 adverts and so on; on pages with one the surroundings are left out and only counted.
 
 Large hosts are dealt into groups of bounded size by a hash of the page, so a host with a third of
@@ -30,6 +32,8 @@ from notewright.llm import common
 
 #: Words of a run that counts as long, and pages of a host that one suffix array takes.
 RUN, GROUP_PAGES = 6, 256
+#: Distinct pages that repeat a run of boilerplate: so many, or all of a host with fewer, but never under LEAST_PAGES.
+MOST_PAGES, LEAST_PAGES = 5, 3
 #: Hosts over GROUP_PAGES that are broadcast; with more, they are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
@@ -117,16 +121,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
-def repeated(words: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Which words are inside a run of ``run`` words or more that two distinct pages hold.
+def holders(words: np.ndarray, page: np.ndarray, run: int = RUN, same: np.ndarray | None = None) -> np.ndarray:
+    """For each word, how many distinct pages hold the run of ``run`` words that starts there.
 
     A suffix array by prefix doubling, sorted as deep as ``run`` words: suffixes that share so many
-    get the same rank, and a rank that two pages have is a repeated run.  No run crosses pages.
+    get the same rank, and the pages of a rank are counted.  No run crosses pages; where one would,
+    the count is 0.  Pages with the same number in ``same`` count once.
     """
     n = len(words)
-    covered = np.zeros(n, bool)
+    out = np.zeros(n, np.int64)
     if n < 2 * run:
-        return covered
+        return out
     rank = np.unique(words, return_inverse=True)[1].astype(np.int64) + 1
     depth = 1
     while depth < run:
@@ -138,31 +143,34 @@ def repeated(words: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
     inside = np.zeros(n, bool)
     inside[: n - run + 1] = page[: n - run + 1] == page[run - 1 :]
     suffixes = np.flatnonzero(inside)
-    suffixes = suffixes[np.argsort(rank[suffixes], kind="stable")]  # the suffix array
-    r, p = rank[suffixes], page[suffixes]
-    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
     if not len(suffixes):
-        return covered
-    low, high = np.minimum.reduceat(p, starts), np.maximum.reduceat(p, starts)
-    many = np.repeat(low < high, np.diff(np.r_[starts, len(r)]))
-    edges = np.zeros(n + 1, np.int64)
-    edges[suffixes[many]] += 1
-    edges[suffixes[many] + run] -= 1
-    return np.cumsum(edges[:-1]) > 0
-
-
-def unique_words(block: list[str], covered: list[bool], run: int = RUN) -> list[str]:
-    """The words of a block but for covered stretches.  A run that only reaches into a block, for less
-    than a run's length, takes nothing from it."""
-    kept, at = [], 0
-    while at < len(block):
-        end = at + 1
-        while end < len(block) and covered[end] == covered[at]:
-            end += 1
-        if not covered[at] or (end - at < run and end - at < len(block)):
-            kept += block[at:end]
-        at = end
-    return kept
+        return out
+    number = page if same is None else same
+    suffixes = suffixes[np.lexsort((number[suffixes], rank[suffixes]))]  # the suffix array
+    r, p = rank[suffixes], number[suffixes]
+    starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+    first = np.r_[True, (r[1:] != r[:-1]) | (p[1:] != p[:-1])].astype(np.int64)
+    out[suffixes] = np.repeat(np.add.reduceat(first, starts), np.diff(np.r_[starts, len(r)]))
+    return out
+
+
+def inside_runs(starts: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which words are inside a run that starts where ``starts`` is true."""
+    edges = np.zeros(len(starts) + run, np.int64)
+    at = np.flatnonzero(starts)
+    edges[at] += 1
+    edges[at + run] -= 1
+    return np.cumsum(edges)[: len(starts)] > 0
+
+
+def repeated(words: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Which words are inside a run of ``run`` words or more that two distinct pages hold."""
+    return inside_runs(holders(words, page, run) >= 2, run)
+
+
+def needed(pages: int) -> int:
+    """How many distinct pages of a host repeat what is boilerplate there."""
+    return min(MOST_PAGES, max(LEAST_PAGES, pages))
 
 
 def host_of(url):
@@ -171,10 +179,10 @@ def host_of(url):
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``key, url, text, n_chars`` for every page, and ``n_words_around``, ``n_repeated``: how many
-    words stand outside the article, and how many of them the host's pages repeat.
+    words stand outside the article, and how many of them two distinct pages of the host repeat.
 
     Null and empty pages have an empty text.  Null urls and urls without a host are one host.
-    Repeated rows give repeated rows (their surroundings count as repeated), an empty table an empty
+    Repeated rows give repeated rows and count as one page, like all pages of one content, an empty table an empty
     result.  Broken markup is read as it comes: what is open at the end is closed there.  Columns
     that are not named are not read.
     """
@@ -211,21 +219,24 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
         split = [[t.split() for t in r["around"]] for r in held]
         words = np.fromiter((xxhash.xxh3_64_intdigest(w) for s in split for b in s for w in b), np.uint64)
         sizes = np.array([sum(map(len, s)) for s in split], np.int64)
-        covered = repeated(words, np.repeat(np.arange(len(held)), sizes))
+        numbers: dict[tuple, int] = {}
+        page_no = [numbers.setdefault((r["article"], *r["around"]), len(numbers)) for r in held]
+        # Equal pages count as one.
+        count = holders(words, np.repeat(np.arange(len(held)), sizes), same=np.repeat(page_no, sizes))
+        twice, covered = inside_runs(count >= 2), inside_runs(count >= needed(len(numbers)))
         out: dict[str, list] = {f.name: [] for f in schema}
         at = 0
         for r, s, n in zip(held, split, sizes.tolist(), strict=True):
-            mine, at = covered[at : at + n], at + n
+            mine, n_twice, at = covered[at : at + n], int(twice[at : at + n].sum()), at + n
             text = zlib.decompress(r["article"]).decode("utf-8")
             if not r["has_article"]:
                 kept, i = [], 0
                 for b, marked in zip(s, r["marked"], strict=True):
-                    rest = [] if marked else unique_words(b, mine[i : i + len(b)].tolist())
+                    if not marked and not mine[i : i + len(b)].all():
+                        kept.append(" ".join(b))
                     i += len(b)
-                    if rest:
-                        kept.append(" ".join(rest))
                 text = "\n".join(kept)
-            for name, value in zip(out, (r["key"], r["url"], text, n, int(mine.sum())), strict=True):
+            for name, value in zip(out, (r["key"], r["url"], text, n, n_twice), strict=True):
                 out[name].append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
 

@@ -167,3 +167,16 @@ def test_pages_without_an_article_and_odd_pages(spark):
     assert [got[i] for i in range(6)] == [f"story {i} tells its own tale number {i * 7} & more" for i in range(6)]
     assert got[90] == got[91] == "" and got[92] == "a\nb <c>" and got[None] == "T\nx\ny"
     assert html_extraction.extract(pages.limit(0)).count() == 0
+
+
+def test_copies_and_shared_passages_keep_their_text(spark):
+    menu = "<div>home news about contact imprint terms of use here</div>"
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    quote = "to be or not to be that is the question"
+    rows = [(i, "http://c.example/a", f"<body>{menu}<p>{own(0)}</p>") for i in range(8)]
+    rows += [(10 + i, f"http://c.example/{i}", f"<body>{menu}<p>{own(i)} {quote} {own(i + 50)}</p>") for i in range(1, 7)]
+    rows += [(30 + i, f"http://two.example/{i}", f"<body><p>{own(i)}</p><blockquote>{quote}</blockquote>") for i in range(2)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == own(0) for i in range(8))
+    assert all(got[10 + i] == f"{own(i)} {quote} {own(i + 50)}" for i in range(1, 7))
+    assert all(got[30 + i] == f"{own(i)}\n{quote}" for i in range(2))
