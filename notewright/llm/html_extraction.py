@@ -11,7 +11,8 @@ are the text, unless their markup marks them as menus, headers,
 adverts and so on; on pages with one the surroundings are left out and only counted.
 
 Large hosts are dealt into groups of bounded size by a hash of the page, so a host with a third of
-all pages is many tasks; boilerplate repeats within any such group.
+all pages is many tasks.  There the runs are counted over the whole host by their hashes, and each
+group gets those of its runs that recur, so a page's text does not depend on its host's size.
 """
 
 from __future__ import annotations
@@ -154,6 +155,15 @@ def holders(words: np.ndarray, page: np.ndarray, run: int = RUN, same: np.ndarra
     return out
 
 
+def windows(words: np.ndarray, page: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of ``run`` words inside a page start, and a hash of each."""
+    at = np.flatnonzero(page[: len(page) - run + 1] == page[run - 1 :]) if len(page) >= run else np.zeros(0, np.int64)
+    out = np.zeros(len(at), np.uint64)
+    for j in range(run):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[at + j]
+    return at, out.view(np.int64)
+
+
 def inside_runs(starts: np.ndarray, run: int = RUN) -> np.ndarray:
     """Which words are inside a run that starts where ``starts`` is true."""
     edges = np.zeros(len(starts) + run, np.int64)
@@ -173,6 +183,35 @@ def needed(pages: int) -> int:
     return min(MOST_PAGES, max(LEAST_PAGES, pages))
 
 
+def hashed(around: list[list[str]]) -> np.ndarray:
+    """Hashes of the words of split blocks, in order."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for b in around for w in b), np.uint64)
+
+
+def host_runs(pages: DataFrame, small: bool, tables: common.Tables) -> DataFrame:
+    """``host, group, twice, often``: of the runs of a group's pages (host, group, html), those that two
+    distinct pages of the host hold, and those that enough of them hold to be boilerplate."""
+    schema = pa.schema([("host", pa.string()), ("group", pa.int64()), ("content", pa.int64()), ("runs", pa.list_(pa.int64()))])
+
+    def found(batch: pa.RecordBatch) -> dict[str, object]:
+        content, runs = [], []
+        for h in common.texts_of(batch.column(2)):
+            cut = blocks(h)
+            content.append(xxhash.xxh3_64_intdigest("\n".join(f"{int(k == ARTICLE)}{t}" for k, t in cut).encode("utf-8", "replace")) - 2**63)
+            words = hashed([t.split() for k, t in cut if k != ARTICLE])
+            runs.append(np.unique(windows(words, np.zeros(len(words), np.int64))[1]))
+        return {"host": batch.column(0), "group": batch.column(1), "content": content, "runs": runs}
+
+    held = tables.put("runs", pages.mapInArrow(common.by_batch(found, schema), "host string, group long, content long, runs array<long>"))
+    distinct = held.dropDuplicates(["host", "content"])
+    contents = held.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("contents"))
+    often = distinct.select("host", F.explode("runs").alias("run")).groupBy("host", "run").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    often = often.join(F.broadcast(contents) if small else contents, "host")
+    often = often.select("host", "run", (F.col("n") >= F.least(F.lit(MOST_PAGES), F.greatest(F.lit(LEAST_PAGES), "contents"))).alias("enough"))
+    own = held.select("host", "group", F.explode("runs").alias("run")).distinct()
+    return own.join(often, ["host", "run"]).groupBy("host", "group").agg(F.collect_list("run").alias("twice"), F.collect_list(F.when(F.col("enough"), F.col("run"))).alias("often"))
+
+
 def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
@@ -189,7 +228,8 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     spark = pages.sparkSession
     common.small_batches(spark)
     counts = pages.groupBy(host_of(F.col(url)).alias("host")).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") > GROUP_PAGES)
-    counts = common.Tables(spark, "html").put("hosts", counts.select("host", F.ceil(F.col("pages") / GROUP_PAGES).alias("groups")))
+    tables = common.Tables(spark, "html")
+    counts = tables.put("hosts", counts.select("host", F.ceil(F.col("pages") / GROUP_PAGES).alias("groups")))
     small = counts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     kind = pages.schema[key].dataType
     parsed_schema = pa.schema([("key", to_arrow_type(kind)), ("url", pa.string()), ("host", pa.string()), ("article", pa.binary()), ("around", pa.list_(pa.string())), ("marked", pa.list_(pa.bool_())), ("has_article", pa.bool_())])
@@ -210,20 +250,35 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(page).alias("html"))
     cut = rows.mapInArrow(common.by_batch(parsed, parsed_schema), f"{key_ddl}, host string, article binary, around array<string>, marked array<boolean>, has_article boolean")
-    cut = cut.join(F.broadcast(counts) if small else counts, "host", "left")
-    cut = cut.withColumn("group", F.when(F.col("groups").isNotNull(), F.pmod(F.xxhash64("key", "url"), F.col("groups"))).otherwise(F.lit(0)))
-    dealt = cut.select("host", "group", *[f.name for f in parsed_schema if f.name != "host"]).repartition("host", "group").sortWithinPartitions("host", "group", "key")
+    large = F.broadcast(counts) if small else counts
+    group = F.pmod(F.xxhash64("key", "url"), F.col("groups"))
+    cut = cut.join(large, "host", "left").withColumn("group", F.coalesce(group, F.lit(0)))
+    dealt = cut.select("host", "group", "groups", *[f.name for f in parsed_schema if f.name != "host"])
+    if counts.limit(1).count():
+        runs = host_runs(rows.join(large, "host").select("host", group.alias("group"), "html"), small, tables)
+    else:
+        runs = spark.createDataFrame([], "host string, group long, twice array<long>, often array<long>")
+    # A group's runs come before its pages.
+    dealt = dealt.unionByName(runs, allowMissingColumns=True).repartition("host", "group").sortWithinPartitions("host", "group", F.col("has_article").isNotNull(), "key")
     schema = pa.schema([("key", to_arrow_type(kind)), ("url", pa.string()), ("text", pa.string()), ("n_words_around", pa.int64()), ("n_repeated", pa.int64())])
 
-    def finish(held: list[dict]) -> Iterator[pa.RecordBatch]:
+    def finish(held: list[dict], runs: dict) -> Iterator[pa.RecordBatch]:
         split = [[t.split() for t in r["around"]] for r in held]
-        words = np.fromiter((xxhash.xxh3_64_intdigest(w) for s in split for b in s for w in b), np.uint64)
+        words = hashed([b for s in split for b in s])
         sizes = np.array([sum(map(len, s)) for s in split], np.int64)
-        numbers: dict[tuple, int] = {}
-        page_no = [numbers.setdefault((r["article"], *r["around"]), len(numbers)) for r in held]
-        # Equal pages count as one.
-        count = holders(words, np.repeat(np.arange(len(held)), sizes), same=np.repeat(page_no, sizes))
-        twice, covered = inside_runs(count >= 2), inside_runs(count >= needed(len(numbers)))
+        page = np.repeat(np.arange(len(held)), sizes)
+        if held[0]["groups"] is None:
+            numbers: dict[tuple, int] = {}
+            page_no = [numbers.setdefault((r["article"], *r["around"]), len(numbers)) for r in held]
+            # Equal pages count as one.
+            count = holders(words, page, same=np.repeat(page_no, sizes))
+            twice, covered = inside_runs(count >= 2), inside_runs(count >= needed(len(numbers)))
+        else:
+            starts, hashes = windows(words, page)
+            twice, covered = (np.zeros(len(words), bool) for _ in range(2))
+            twice[starts] = np.isin(hashes, np.array(runs.get("twice", []), np.int64))
+            covered[starts] = np.isin(hashes, np.array(runs.get("often", []), np.int64))
+            twice, covered = inside_runs(twice), inside_runs(covered)
         out: dict[str, list] = {f.name: [] for f in schema}
         at = 0
         for r, s, n in zip(held, split, sizes.tolist(), strict=True):
@@ -242,17 +297,22 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
 
     def grouped(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        now = None
+        now, runs = None, {}
         for batch in batches:
             for r in batch.to_pylist():
                 # Repeats of one page share a group whatever its size: no array over twice the size.
                 if (r["host"], r["group"]) != now or len(held) >= 2 * GROUP_PAGES:
                     if held:
-                        yield from finish(held)
-                    held, now = [], (r["host"], r["group"])
-                held.append(r)
+                        yield from finish(held, runs)
+                    if (r["host"], r["group"]) != now:
+                        now, runs = (r["host"], r["group"]), {}
+                    held = []
+                if r["has_article"] is None:
+                    runs = {"twice": r["twice"], "often": r["often"]}
+                else:
+                    held.append(r)
         if held:
-            yield from finish(held)
+            yield from finish(held, runs)
 
     out = dealt.mapInArrow(grouped, f"{key_ddl}, text string, n_words_around long, n_repeated long")
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"), "n_words_around", "n_repeated")

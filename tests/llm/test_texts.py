@@ -180,3 +180,16 @@ def test_copies_and_shared_passages_keep_their_text(spark):
     assert all(got[i] == own(0) for i in range(8))
     assert all(got[10 + i] == f"{own(i)} {quote} {own(i + 50)}" for i in range(1, 7))
     assert all(got[30 + i] == f"{own(i)}\n{quote}" for i in range(2))
+
+
+@pytest.mark.parametrize("group", [html_extraction.GROUP_PAGES, 8])
+def test_boilerplate_of_large_hosts_recurs_across_groups(spark, monkeypatch, group):
+    monkeypatch.setattr(html_extraction, "GROUP_PAGES", group)
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    advert = "<div>buy this very fine thing now and save money</div>"
+    rows = [(i, f"http://l.example/{i}", f"<body>{advert if i % 10 == 0 else ''}<p>{own(i)}</p>") for i in range(60)]
+    rows += [(100 + i, "http://l.example/copy", f"<body><p>{own(99)}</p>") for i in range(30)]
+    got = html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    assert all(r.text == own(min(r.page_id, 99)) for r in got)
+    assert sum(r.n_repeated for r in got) == 6 * 9
