@@ -29,20 +29,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language_id.accepted(docs, models)
 
 
+def row_key():
+    """Names a document by id and text, in the order of ids, rows without an id last: one id may be on several texts."""
+    order = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+    return F.concat(F.coalesce(order, F.lit("null")), F.lpad(F.hex(F.xxhash64("text")), 16, "0"))
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the least id."""
-    found = near_dedup.near_duplicates(docs)
-    found = common.Tables(spark, "groups").put("found", found.select("doc_id", "kept"))
-    dropped = found.where("not kept and doc_id is not null").select("doc_id").distinct()
-    again = found.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    keyed = docs.withColumn("row_key", row_key())
+    found = near_dedup.near_duplicates(keyed, key="row_key")
+    found = common.Tables(spark, "groups").put("found", found.select("row_key", "kept"))
+    dropped = found.where("not kept").select("row_key").distinct()
+    again = found.where("kept").groupBy("row_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row_key")
 
     def bounded(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
     out = bounded(dropped.unionByName(again))
-    single = docs.join(out, "doc_id", "left_anti")
-    # Rows that repeat a kept id: one of them stays.
-    repeated = docs.join(bounded(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    single = keyed.join(out, "row_key", "left_anti")
+    # Rows that repeat a kept document: one of them stays.
+    repeated = keyed.join(bounded(again), "row_key", "left_semi").dropDuplicates(["row_key"])
     return single.unionByName(repeated).select(*docs.columns)
 
 

@@ -289,3 +289,11 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == extra.select("doc_id").distinct().count()
     assert math.isclose(packed.where("start = 0").count(), extra.count())
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_near_dedup_stage_with_one_id_on_several_texts_and_without_ids(spark, sf_dir):
+    text = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    rows = [(1, text("a")), (2, text("a") + " more"), (2, text("b")), (-3, text("c")), (-3, text("d")), (-3, text("d")), (None, text("b") + " more"), (None, text("e")), (None, text("e")), (7, None)]
+    out = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf_dir)
+    want = [(1, text("a")), (2, text("b")), (-3, text("c")), (-3, text("d")), (None, text("e")), (7, None)]
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
