@@ -18,7 +18,7 @@ __all__ = ["Tables", "shared_dir"]
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows and bytes of text that one Arrow batch hands to Python at most.
-BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,11 +49,22 @@ def held(key: object, make: Callable[[], object]) -> object:
 def _give_back() -> None:
     """Returns freed memory to the machine, where the C library can: workers outlive operators."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 
 
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which the worker keeps no memory but what is in use."""
+
+    def ran(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return ran
+
+
 def crc_of(col: Column) -> Column:
     """CRC-32 of an id's decimal text, as the folds of the contracts use it."""
     return F.crc32(col.cast("string"))
@@ -93,7 +104,7 @@ def by_batch(fn: Callable[[pa.RecordBatch], dict[str, object]], schema: pa.Schem
             columns = fn(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array | pa.ChunkedArray) else columns[f.name] for f in schema], schema=schema)
 
-    return run
+    return lean(run)
 
 
 def filtered(docs: DataFrame, text: str, keep: Callable[[list[str]], object]) -> DataFrame:
@@ -105,4 +116,4 @@ def filtered(docs: DataFrame, text: str, keep: Callable[[list[str]], object]) ->
         for batch in batches:
             yield batch.filter(pa.array(keep(texts_of(batch.column(at))), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

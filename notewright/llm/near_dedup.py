@@ -2,16 +2,18 @@
 
 1. One pass over the texts gives each document's set size, a digest of its shingle set and its
    HyperMinHash registers (leading zeros and mantissa by bucket).  Equal sets are one *class* from
-   here on, so exact copies cost one row.
-2. Bands of registers put classes into buckets.  Buckets are aggregated before anything is joined;
-   buckets with the same members are kept once.
+   here on, so exact copies cost one row; classes are numbered.
+2. Bands of registers put classes into buckets: one exchange of two numbers a band, after which
+   buckets of one class are gone.  A bucket that is frequent within a batch is dealt over many
+   tasks.  Buckets with the same members are kept once.
 3. In every bucket each class is paired with the least one only (a star, not all pairs).  The
    collision-corrected estimate drops pairs that are far from the threshold; the rest is verified on
    full sets.  Components of the verified links are found.
 4. What the stars may have missed lies in buckets of three classes or more that still hold several
-   components.  Such a bucket is searched for further links between its components, in blocks, on
-   full sets, until no two of its components are linked; a block emits at most one link for each of
-   its classes.  So no candidate pair is lost and nothing quadratic is written.
+   components.  Such a bucket is searched for further links between its components, in blocks: first
+   on registers, which leaves the classes with a likely partner, and these on full sets, until no two
+   of the bucket's components are linked; a block emits at most one link for each of its classes.  So
+   no candidate pair is lost and nothing quadratic is written.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window as W
 
 from notewright.llm import common, shingles
 from notewright.llm.components import components
@@ -31,10 +34,12 @@ from notewright.llm.components import components
 PERCENT = 75
 #: Registers of a band: 51 bands of 5 miss a pair at the threshold once in a million.
 BAND = 5
-#: Classes of a block of step 4.
-BLOCK = 512
-#: Ids (8 bytes each) that are broadcast to fetch texts; beyond, documents are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: Classes of a block of step 4, and partners of a star's centre that one task's portion holds.
+BLOCK, PORTION = 512, 256
+#: A bucket with so many classes of one batch is dealt over so many tasks.
+FREQUENT, SPREAD = 16, 1024
+#: Ids that are broadcast to fetch rows; beyond, tables are joined by a shuffle.
+BROADCAST_IDS = 250_000
 
 
 def _shingler(width: int) -> shingles.Shingler:
@@ -59,20 +64,43 @@ def sketch(docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
     return rows.mapInArrow(common.by_batch(sketched, schema), f"key {kind.simpleString()}, n_shingles long, digest binary, registers binary")
 
 
+def _registers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
 def band_rows(classes: DataFrame) -> DataFrame:
-    """``bucket, digest``: one row for each class and band."""
-    schema = pa.schema([("bucket", pa.int64()), ("digest", pa.binary())])
+    """``bucket, spread, id``: one row for each class and band.
+
+    Classes of a bucket that is frequent in a batch are dealt over ``SPREAD`` numbers; the other
+    batches learn that the bucket has members from one row with the negative id ``-1 - id``.
+    """
+    schema = pa.schema([("bucket", pa.int64()), ("spread", pa.int32()), ("id", pa.int64())])
 
     def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, BAND), np.uint16)
-            keys = [shingles.band_keys(r, BAND) for r in regs]
-            many = len(keys[0]) if keys else 0
-            digest = pa.array(batch.column(0)).take(pa.array(np.repeat(np.arange(batch.num_rows), many)))
-            bucket = pa.array(np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([bucket, digest.cast(pa.binary())], schema=schema)
+            if not batch.num_rows:
+                continue
+            own = batch.column(0).to_numpy()
+            keys = np.array([shingles.band_keys(r, BAND) for r in _registers(batch.column(1))])
+            ids, keys = np.repeat(own, keys.shape[1]), keys.reshape(-1).view(np.int64)
+            order = np.lexsort((ids, keys))
+            ids, keys = ids[order], keys[order]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            many = np.diff(np.r_[starts, len(keys)])
+            often = np.repeat(many >= FREQUENT, many)
+            spread = np.where(often, 1 + (ids.view(np.uint64) * shingles.STEP >> np.uint64(40)).astype(np.int64) % SPREAD, 0)
+            told = starts[many >= FREQUENT]
+            columns = [np.r_[keys, keys[told]], np.r_[spread, np.zeros(len(told), np.int64)], np.r_[ids, -1 - ids[told]]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return classes.select("id", "registers").mapInArrow(banded, "bucket long, spread int, id long")
+
 
-    return classes.select("digest", "registers").mapInArrow(banded, "bucket long, digest binary")
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """``bucket, id`` of the buckets with several classes."""
+    dealt = band_rows(classes).repartition("bucket", "spread")
+    counted = dealt.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket", "spread")))
+    return counted.where("id >= 0 and (n > 1 or spread > 0)").select("bucket", "id")
 
 
 def jaccard_links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -86,127 +114,210 @@ def jaccard_links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def likely(agree: np.ndarray, n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Whether an estimate is within five deviations of the threshold, for sets of n shingles."""
-    j = percent / 100
-    return agree >= j - 5 * np.sqrt(j * (1 - j) / np.minimum(n, shingles.BUCKETS))
+def likely(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Whether sizes allow a link and the estimate is within five deviations of the threshold (at
+    which it is wrong three times in ten million), for registers and sizes of sets."""
+    j, n = percent / 100, np.minimum(na, nb)
+    fits = 100 * n >= percent * np.maximum(na, nb)
+    return fits & (shingles.estimate(a, b) >= j - 5 * np.sqrt(j * (1 - j) / np.minimum(n, shingles.BUCKETS)))
+
+
+def _only(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` joined with ``wanted`` by ``column``.
+
+    A bounded number of bare ids is broadcast to leave out all other rows before the shuffle; with
+    more ids the join alone does it.
+    """
+    ids = wanted.select(column).distinct()
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(ids), column, "left_semi")
+    return rows.join(wanted, column)
+
+
+def texts_for(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
+    """``text`` with the columns of ``wanted``, whose column ``rep`` names the document."""
+    return _only(docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).where(F.col("text").isNotNull()), "rep", wanted)
+
+
+def star_ends(pairs: DataFrame) -> DataFrame:
+    """``a, portion, place, id``: the centre (place 0) and the others of each portion of a star.
+
+    A star has as many portions as its size asks for, so no star is one task.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PORTION).cast("int").alias("portions"))
+    others = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("portions")).cast("int").alias("portion"), F.lit(1).alias("place"), F.col("b").alias("id"))
+    centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("place"), F.col("a").alias("id"))
+    return others.unionByName(centres)
+
+
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=PAIR)
 
 
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs ``a, b`` that their sizes and the estimate do not rule out."""
-    left = classes.select(F.col("digest").alias("a"), F.col("n_shingles").alias("na"), F.col("registers").alias("ra"))
-    right = classes.select(F.col("digest").alias("b"), F.col("n_shingles").alias("nb"), F.col("registers").alias("rb"))
-    both = pairs.join(left, "a").join(right, "b").where((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    got = _only(classes.select("id", "n_shingles", "registers"), "id", star_ends(pairs))
+    got = got.select("a", "portion", "place", "id", "n_shingles", "registers").repartition("a", "portion").sortWithinPartitions("a", "portion", "place")
 
     def filtered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, centre = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (3, 4))
-            keep = likely(shingles.estimate(ra, rb), batch.column(2).to_numpy())
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)).cast(pa.binary()) for c in (batch.column(0), batch.column(1))], schema=schema)
-
-    return both.select("a", "b", F.least("na", "nb").alias("n"), "ra", "rb").mapInArrow(filtered, "a binary, b binary")
-
-
-def texts_for(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
-    """``text`` with the columns of ``wanted``, whose column ``rep`` names the document.
-
-    A bounded number of bare ids is broadcast to leave out all other texts before the shuffle; with
-    more ids the documents are joined by a shuffle.
-    """
-    ids = wanted.select("rep").distinct()
-    rows = docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        rows = rows.join(F.broadcast(ids), "rep", "left_semi")
-    return rows.join(wanted, "rep")
+            a, portion, place, ids, n = (batch.column(k).to_numpy() for k in range(5))
+            regs = _registers(batch.column(5))
+            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (portion[1:] != portion[:-1])])
+            found: list[tuple[int, int]] = []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(a)], strict=True):
+                star = (a[i], portion[i])
+                if place[i] == 0:
+                    now, centre = star, (regs[i].copy(), n[i])
+                    i += 1
+                if now == star:
+                    found += [(int(now[0]), int(b)) for b in ids[i:j][likely(regs[i:j], n[i:j], *centre)]]
+            yield _pairs(found)
+
+    return got.mapInArrow(common.lean(filtered), "a long, b long")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
     """The pairs ``a, b`` that link on full sets.
 
-    The texts of all pairs of an ``a`` meet in one place, in portions of bounded size: each portion
-    holds the text of ``a`` and those of some hundred others, and is read as a stream.
+    The texts of a portion of a star meet in one place and are read as a stream, its centre first.
     """
-    pairs = pairs.withColumn("portion", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
-    ids = classes.select("digest", "rep")
-    ends = pairs.select("a", "portion", F.col("b").alias("digest"), F.lit(1).alias("place")).unionByName(pairs.select("a", "portion", F.col("a").alias("digest"), F.lit(0).alias("place")).distinct())
-    got = texts_for(docs, text, key, ends.join(ids, "digest")).select("a", "portion", "place", "digest", "text")
-    got = got.repartition("a", "portion").sortWithinPartitions("a", "portion", "place", "digest")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    ends = star_ends(pairs).join(classes.select("id", "rep", "digest"), "id")
+    got = texts_for(docs, text, key, ends).select("a", "portion", "place", "id", "digest", "text")
+    got = got.repartition("a", "portion").sortWithinPartitions("a", "portion", "place", "id")
 
     def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, first = None, None
         for batch in batches:
-            out: tuple[list, list] = ([], [])
-            sets = _shingler(width).sets(common.texts_of(batch.column(4)))
-            for a, portion, place, digest, s in zip(*(batch.column(c).to_pylist() for c in range(4)), sets, strict=True):
+            found = []
+            sets = _shingler(width).sets(common.texts_of(batch.column(5)))
+            for a, portion, place, b, digest, s in zip(*(batch.column(c).to_pylist() for c in range(5)), sets, strict=True):
                 if shingles.set_digest(s) != digest:
                     continue  # another text under the same id
                 if place == 0:
                     now, first = (a, portion), s
                 elif now == (a, portion) and jaccard_links(first, s):
-                    out[0].append(a)
-                    out[1].append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], schema=schema)
+                    found.append((a, b))
+            yield _pairs(found)
 
-    return got.mapInArrow(linked, "a binary, b binary").distinct()
+    return got.mapInArrow(common.lean(linked), "a long, b long").distinct()
 
 
-def residual_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
-    """Links between different components of a bucket.  ``rows``: ``bucket, digest, root, rep,
-    registers, members``.
+def blocked(rows: DataFrame) -> DataFrame:
+    """``rows`` (bucket, members, id, root, rep, digest) with ``x, y, side``: the pairs of blocks that a class meets
+    others in.
 
-    A bucket is cut into blocks by a hash; each pair of its blocks is one group.  Nearly all buckets
-    are one block.
+    A bucket of up to ``BLOCK`` classes is one block.  In a larger one the components beyond ``BLOCK``
+    have blocks of their own, the others share blocks, each component whole in one of them.  Blocks of
+    one component are not paired, so a bucket that is nearly one component costs little more than one
+    pass over it.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK)).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("rep", "bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "digest", "root", "registers")
-    got = texts_for(docs, text, key, rows).select("bucket", "x", "y", "digest", "root", "registers", "text")
-    got = got.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "root", "digest")
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-    def search(group: list[tuple[bytes, bytes, np.ndarray, np.ndarray]]) -> Iterator[tuple[bytes, bytes]]:
-        parent = {g[1]: g[1] for g in group}
-
-        def find(x: bytes) -> bytes:
+    small = rows.where(F.col("members") <= BLOCK).select("*", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"))
+    large = rows.where(F.col("members") > BLOCK)
+    sizes = large.groupBy("bucket", "members", "root").agg(F.count(F.lit(1)).alias("n"))
+    shared = F.ceil(F.col("members") / BLOCK)
+    own = F.col("n") > BLOCK
+    # Numbers of shared blocks are not negative; blocks of one component are negative numbers of it.
+    sizes = sizes.select("bucket", "root", own.alias("own"), F.when(own, F.ceil(F.col("n") / BLOCK)).otherwise(1).alias("cuts"), F.pmod(F.xxhash64("root"), shared).alias("shared"))
+    number = lambda cut: F.when(F.col("own"), -1 - F.abs(F.xxhash64("root", cut) % (1 << 62))).otherwise(F.col("shared"))
+    cut = F.pmod(F.xxhash64("id"), F.col("cuts"))
+    large = large.join(sizes, ["bucket", "root"]).withColumn("block", number(cut.cast("long")))
+    blocks = sizes.withColumn("cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1))).select("bucket", number(F.col("cut")).alias("block"), F.when(F.col("own"), F.col("root")).alias("whole")).distinct()
+    left, right = (blocks.select("bucket", F.col("block").alias(b), F.col("whole").alias(f"whole_{b}")) for b in "xy")
+    met = left.join(right, "bucket").where("x <= y and (x = y or whole_x is null or whole_y is null or whole_x <> whole_y)").where("not (x = y and whole_x is not null)").select("bucket", "x", "y")
+    one = large.join(met.withColumn("block", F.col("x")), ["bucket", "block"]).withColumn("side", F.lit(0))
+    two = large.join(met.where("x <> y").withColumn("block", F.col("y")), ["bucket", "block"]).withColumn("side", F.lit(1))
+    columns = small.columns
+    return small.unionByName(one.select(*columns)).unionByName(two.select(*columns))
+
+
+def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each pair of blocks, as the first three columns tell."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and row[:3] != held[0][:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def doubtful(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the blocked ``rows`` that have a likely partner of another component in their pair of
+    blocks, by registers alone."""
+    got = _only(classes.select("id", "n_shingles", "registers"), "id", rows).select("bucket", "x", "y", "side", "root", "id", "n_shingles", "registers")
+    got = got.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    schema = pa.schema([("bucket", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("id", pa.int64())])
+
+    def sifted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            side, root, ids, n = (np.array([g[k] for g in group], np.int64) for k in range(3, 7))
+            regs = np.frombuffer(b"".join(g[7] for g in group), np.uint16).reshape(len(group), -1)
+            hit = np.zeros(len(group), bool)
+            across = side.max() > side.min()
+            for i in range(1, len(group)):
+                ok = root[:i] != root[i]
+                if across:
+                    ok &= side[:i] != side[i]
+                j = np.flatnonzero(ok)
+                if len(j):
+                    j = j[likely(regs[j], n[j], regs[i], n[i])]
+                    hit[j] = True
+                    hit[i] |= len(j) > 0
+            if hit.any():
+                columns = [np.full(int(hit.sum()), group[0][k]) for k in range(3)] + [ids[hit]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    return got.mapInArrow(common.lean(sifted), "bucket long, x long, y long, id long")
+
+
+def residual_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
+    """Links between different components of a pair of blocks, on full sets.  ``rows``: ``bucket, x, y,
+    id, root, rep, digest``."""
+    got = texts_for(docs, text, key, rows).select("bucket", "x", "y", "id", "root", "digest", "text")
+    got = got.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "root", "id")
+
+    def search(group: dict[int, tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        ids, parent = list(group), {root: root for root, _ in group.values()}
+
+        def find(x: int) -> int:
             while parent[x] != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        regs = np.array([g[2] for g in group])
-        sizes = np.array([len(g[3]) for g in group])
-        for i in range(1, len(group)):
-            n = np.minimum(sizes[:i], sizes[i])
-            ok = (100 * n >= PERCENT * np.maximum(sizes[:i], sizes[i])) & likely(shingles.estimate(regs[:i], regs[i]), n)
-            for j in np.flatnonzero(ok):
-                a, b = find(group[i][1]), find(group[j][1])
-                if a != b and jaccard_links(group[i][3], group[j][3]):
+        sets = [group[i][1] for i in ids]
+        sizes = np.fromiter(map(len, sets), np.int64)
+        regs = np.array([shingles.registers(s) for s in sets])
+        for i in range(1, len(ids)):
+            for j in np.flatnonzero(likely(regs[:i], sizes[:i], regs[i], sizes[i])):
+                a, b = find(group[ids[i]][0]), find(group[ids[j]][0])
+                if a != b and jaccard_links(sets[i], sets[j]):
                     parent[a] = b
-                    yield group[i][0], group[j][0]
+                    yield ids[i], ids[j]
 
     def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = list(search(list(group.values()))) if len(group) > 1 else []
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], schema=schema)
-
         for batch in batches:
             sets = _shingler(width).sets(common.texts_of(batch.column(6)))
-            for bucket, x, y, digest, root, regs, s in zip(*(batch.column(c).to_pylist() for c in range(6)), sets, strict=True):
+            for bucket, x, y, own, root, digest, s in zip(*(batch.column(c).to_pylist() for c in range(6)), sets, strict=True):
                 if (bucket, x, y) != now:
-                    yield from flush()
+                    if len(group) > 1:
+                        yield _pairs(list(search(group)))
                     now, group = (bucket, x, y), {}
                 if shingles.set_digest(s) == digest:
-                    group[digest] = (digest, root, np.frombuffer(regs, np.uint16), s)
-        yield from flush()
+                    group[own] = (root, s)
+        if len(group) > 1:
+            yield _pairs(list(search(group)))
 
-    return got.mapInArrow(searched, "a binary, b binary").distinct()
+    return got.mapInArrow(common.lean(searched), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", width: int = shingles.WIDTH) -> DataFrame:
@@ -223,38 +334,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     tables = common.Tables(spark, "near")
     sketches = tables.put("sketches", sketch(docs, text, key, width))
     with_set = sketches.where("digest is not null")
-    reps = with_set.groupBy("digest").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    of_rep = with_set.select("digest", F.col("key").alias("rep"), "n_shingles", "registers")
-    named = reps.where("rep is not null")
-    classes = tables.put("classes", of_rep.join(named, ["digest", "rep"]).dropDuplicates(["digest"]))
-
-    bands = tables.put("bands", band_rows(classes))
-    # Members of a bucket in number, as a sum of hashes, and the least: aggregated before the shuffle.
-    sums = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("digest").cast("decimal(20,0)")).alias("sign"), F.min("digest").alias("a")).where("members > 1")
-    buckets = tables.put("buckets", sums.groupBy("members", "sign", "a").agg(F.min("bucket").alias("bucket")))
-    held = tables.put("held", bands.join(buckets, "bucket").select("bucket", "members", "a", "digest"))
-    tables.drop("bands")
-
-    stars = held.where("digest <> a").select("a", F.col("digest").alias("b")).distinct()
-    likely_pairs = tables.put("pairs", estimated(stars, classes))
+    # Copies are aggregated before they are moved, so a group of any size is a row of each task.
+    least = F.min(F.when(F.col("key").isNotNull(), F.struct("key", "n_shingles", "registers"))).alias("least")
+    classes = with_set.groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies")).where("least is not null")
+    classes = classes.select(F.monotonically_increasing_id().alias("id"), "digest", "copies", F.col("least.key").alias("rep"), "least.n_shingles", "least.registers")
+    classes = tables.put("classes", classes)
+
+    shared = tables.put("shared", shared_buckets(classes))
+    # Members of a bucket in number, their hashes together, and the least: aggregated before the shuffle.
+    sums = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("id")).alias("sign"), F.min("id").alias("a"))
+    buckets = sums.groupBy("members", "sign", "a").agg(F.min("bucket").alias("bucket")).drop("sign")
+    held = tables.put("held", shared.join(buckets, "bucket").select("bucket", "members", "a", "id"))
+    tables.drop("shared")
+
+    stars = tables.put("stars", held.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    likely_pairs = tables.put("likely", estimated(stars, classes))
     links = tables.put("links", verified(likely_pairs, classes, docs, text, key, width))
+    tables.drop("stars", "likely")
     found = components(links, tables, "first")
 
-    wide = held.where("members > 2").join(found.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    wide = held.where("members > 2").join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    wide = tables.put("wide", wide.select("bucket", "members", "id", "root"))
+    tables.drop("held")
     mixed = wide.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rest = wide.join(mixed, "bucket").join(classes.select("digest", "rep", "registers"), "digest")
-    rest = tables.put("rest", rest.select("bucket", "members", "digest", "root", "rep", "registers"))
-    more = tables.put("more", residual_links(rest, docs, text, key, width))
+    rest = tables.put("rest", blocked(wide.join(mixed, "bucket")))
+    sifted = doubtful(rest, classes).join(rest.select("bucket", "x", "y", "id", "root"), ["bucket", "x", "y", "id"])
+    sifted = tables.put("sifted", sifted.join(classes.select("id", "rep", "digest"), "id"))
+    tables.drop("wide", "rest")
+    more = tables.put("more", residual_links(sifted, docs, text, key, width))
     if more.limit(1).count():
         found = components(links.unionByName(more), tables, "second")
-    tables.drop("rest", "held", "pairs")
-
-    ids = reps.select("digest", "rep", "copies")
-    grouped = ids.join(found.select(F.col("node").alias("digest"), "root"), "digest")
-    least = grouped.groupBy("root").agg(F.min("rep").alias("least"))
-    linked = grouped.join(least, "root").select("digest", F.col("least").alias("component"))
-    alone = ids.where("copies > 1").join(linked, "digest", "left_anti").select("digest", F.col("rep").alias("component"))
-    names = linked.unionByName(alone)
+    tables.drop("sifted")
+
+    ids = classes.select("id", "digest", "rep", "copies")
+    grouped = ids.join(found.select(F.col("node").alias("id"), "root"), "id")
+    first = grouped.groupBy("root").agg(F.min("rep").alias("component"))
+    linked = grouped.join(first, "root").select("id", "digest", "component")
+    alone = ids.where("copies > 1").join(linked.select("id"), "id", "left_anti").select("id", "digest", F.col("rep").alias("component"))
+    names = linked.unionByName(alone).select("digest", "component")
     out = sketches.select("key", "n_shingles", "digest").join(names, "digest", "left").withColumn("component", F.coalesce("component", "key"))
     return out.select(F.col("key").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"))
 
