@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 from notewright.llm import common, language_id, mixing, near_dedup, packing, toxicity
 
 #: Ids that are broadcast to take rows out; a larger set is joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 250_000
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model predicts toxic go.  The model learns the labelled documents
-    of the contract's training fold."""
+    of the contract's training fold.  Null and empty texts are not toxic and stay; rows stay as often
+    as they come; an empty table gives an empty one."""
     labels = common.table(spark, sf_dir, "labels").where(~toxicity.held_out())
     return toxicity.clean(docs, toxicity.fit(docs, labels))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or in none of the languages learned, go."""
+    """Documents without a letter (null and empty ones too), or in none of the languages learned, go;
+    with no language to learn from, all go."""
     models = language_id.fit(docs.where(~F.coalesce(language_id.held_out(), F.lit(False))))
     return language_id.accepted(docs, models)
 
@@ -36,7 +38,10 @@ def row_key():
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the least id."""
+    """One document of each group of near-duplicates stays, that with the least id.
+
+    An id may be on several texts, and a row without an id is named by its text; exact repeats of a
+    row count as one.  Texts without a word are near nothing and all stay."""
     keyed = docs.withColumn("row_key", row_key())
     found = near_dedup.near_duplicates(keyed, key="row_key")
     found = common.Tables(spark, "groups").put("found", found.select("row_key", "kept"))
@@ -54,12 +59,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken."""
+    """The mix: each document as often as it is taken.
+
+    Texts without a word are taken 0 times; rows without a source are a source of their own; repeated
+    rows are taken alike; an empty table gives an empty one."""
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences."""
+    """The pieces of all documents, in sequences: the result of the pipeline.
+
+    A null text is an empty one, which is its end id alone; repeated rows and rows without an id are
+    documents of their own; an empty table gives no piece."""
     return packing.pack_documents(docs)
 
 

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-#: A run of neither space nor punctuation, or one punctuation sign.
-TOKEN = r"[^\s\p{P}]+|\p{P}"
+#: Fixed value, the same in Java's and Python's dialect: a run of neither ASCII space nor punctuation, or one punctuation sign.
+TOKEN = r"[^\t\n\f\r \p{P}]+|\p{P}"
 MOST_TOKENS = 512
+PROFILES = ("bert_tokenized_mean_pooling", "string_input_direct")
 
 
 def basic_tokens(text: Column, lower: bool = False) -> Column:
@@ -26,7 +30,7 @@ def read_vocabulary(data: str) -> tuple[dict[str, int], bool]:
         vocab = {str(k): int(v) for k, v in doc["model"]["vocab"].items()}
         lower = (doc.get("normalizer") or {}).get("type") == "Lowercase"
     else:
-        vocab = {line.rstrip("\r"): i for i, line in enumerate(data.split("\n")) if line.strip()}
+        vocab = {line.rstrip("\r"): i for i, line in enumerate(data.split("\n")) if line.rstrip("\r")}
         lower = False
     missing = [t for t in ("[UNK]", "[CLS]", "[SEP]") if t not in vocab]
     if missing:
@@ -34,11 +38,18 @@ def read_vocabulary(data: str) -> tuple[dict[str, int], bool]:
     return vocab, lower
 
 
-def word_pieces(word: str, vocab: dict[str, int]) -> list[str]:
-    """The longest known pieces from the left; a word with a part unknown is unknown as a whole."""
-    raw, at, out = word.encode(), 0, []
+def longest_piece(vocab: dict[str, int]) -> int:
+    """Bytes of the longest piece without its sign."""
+    return max((len(p.removeprefix("##").encode()) for p in vocab), default=0)
+
+
+def word_pieces(word: str, vocab: dict[str, int], longest: int | None = None) -> list[str]:
+    """The longest known pieces from the left; a word with a part unknown is unknown as a whole.
+    No piece longer than ``longest`` bytes (all that the vocabulary has) is tried."""
+    raw, at, out = word.encode("utf-8", "surrogatepass"), 0, []
+    longest = longest_piece(vocab) if longest is None else longest
     while at < len(raw):
-        for end in range(len(raw), at, -1):
+        for end in range(min(len(raw), at + max(longest, 2)), at, -1):
             piece = ("##" if at else "") + raw[at:end].decode("utf-8", "replace")
             if piece in vocab:
                 out.append(piece)
@@ -52,12 +63,13 @@ def word_pieces(word: str, vocab: dict[str, int]) -> list[str]:
 def wordpiece_udf(vocab: dict[str, int], most: int = MOST_TOKENS):
     """A pandas UDF from tokens to struct<input_ids, attention_mask, token_type_ids>."""
     known: dict[str, list[int]] = {}
+    longest = longest_piece(vocab)
 
     def ids(word: str) -> list[int]:
         if word not in known:
             if len(known) > 200_000:
                 known.clear()
-            known[word] = [vocab[p] for p in word_pieces(word, vocab)]
+            known[word] = [vocab[p] for p in word_pieces(word, vocab, longest)]
         return known[word]
 
     @F.pandas_udf("input_ids array<long>, attention_mask array<long>, token_type_ids array<long>")
@@ -102,26 +114,96 @@ def decode_output(output: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return l2_rows(output) if output.ndim == 2 else mean_pool(output, mask)
 
 
-def onnx_encoder(path: str, vocab: dict[str, int], lower: bool = False) -> Callable[[list[str]], np.ndarray]:
-    """An encoder of a BERT-like ONNX model; its session is opened once in each Python worker."""
-    held: dict[str, object] = {}
-
-    def encode(texts: list[str]) -> np.ndarray:
-        import onnxruntime
+def check_assets(model_path: str, profile: str, vocabulary_path: str, dimension: int) -> None:
+    """Raises ValueError unless the model, and the vocabulary where the profile needs one, are files that hold something."""
+    if profile not in PROFILES:
+        raise ValueError(f"unknown model profile {profile!r}")
+    if dimension <= 0:
+        raise ValueError(f"the vector dimension must be positive, not {dimension}")
+    for name, path in [("model", model_path)] + [("vocabulary", vocabulary_path)] * (profile == PROFILES[0]):
+        path = (path or "").strip()
+        if not path:
+            raise ValueError(f"the {name} path is empty (profile {profile!r})")
+        if not os.path.exists(path):
+            raise ValueError(f"the {name} {path!r} does not exist")
+        if os.path.isdir(path):
+            raise ValueError(f"the {name} {path!r} is a folder")
+        if not os.path.getsize(path):
+            raise ValueError(f"the {name} {path!r} is empty")
+
+
+def file_hash(path: str) -> str:
+    """SHA-256 of a model file in hexadecimal digits: its ``model_hash`` where none is set."""
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def pick_name(names: Sequence[str], wanted: str, *usual: str) -> str:
+    """``wanted`` if it is set, which must then exist, else the first usual name, else the first of all."""
+    if wanted:
+        if wanted not in names:
+            raise ValueError(f"the model has no {wanted!r} among {', '.join(names)}")
+        return wanted
+    return next((n for n in usual if n in names), names[0])
+
+
+class Session:
+    """An ONNX session, opened when it is first used and again after it failed."""
+
+    def __init__(self, path: str):
+        self.path, self.opened = path, None
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "opened": None}
+
+    def open(self):
+        if self.opened is None:
+            import onnxruntime
+
+            self.opened = onnxruntime.InferenceSession(self.path)
+        return self.opened
+
+    def run(self, output: str, feed: dict) -> np.ndarray:
+        try:
+            return self.open().run([output], feed)[0]
+        except Exception:
+            self.opened = None
+            raise
+
+
+def onnx_encoder(path: str, vocab: dict[str, int] | None, lower: bool = False, profile: str = PROFILES[0], input_name: str = "", output_name: str = "", session: Session | None = None) -> Callable[[list[str]], np.ndarray]:
+    """An encoder of an ONNX model, whose session is opened once in each Python worker.
+
+    With the profile ``bert_tokenized_mean_pooling`` texts go in as token ids of ``vocab``, with
+    ``string_input_direct`` as they are.
+    """
+    if profile not in PROFILES:
+        raise ValueError(f"unknown model profile {profile!r}")
+    model = session or Session(path)
+    longest = longest_piece(vocab or {})
+
+    def direct(texts: list[str]) -> np.ndarray:
+        opened = model.open()
+        name = pick_name([i.name for i in opened.get_inputs()], input_name)
+        output = pick_name([o.name for o in opened.get_outputs()], output_name, "sentence_embedding")
+        out = np.asarray(model.run(output, {name: np.array(texts, object)}), np.float32)
+        if not texts or out.size % len(texts):
+            raise ValueError(f"unexpected model output of {out.size} numbers for {len(texts)} texts")
+        return l2_rows(out.reshape(len(texts), -1))
+
+    def tokenized(texts: list[str]) -> np.ndarray:
         import regex
 
-        session = held.setdefault("s", None) or onnxruntime.InferenceSession(path)
-        held["s"] = session
-        find = regex.compile(r"[^\s\p{P}]+|\p{P}").findall
-        rows = [[vocab["[CLS]"], *[vocab[p] for w in find(t.lower() if lower else t) for p in word_pieces(w, vocab)][: MOST_TOKENS - 2], vocab["[SEP]"]] for t in texts]
+        opened = model.open()
+        find = regex.compile(TOKEN).findall
+        rows = [[vocab["[CLS]"], *[vocab[p] for w in find(t.lower() if lower else t) for p in word_pieces(w, vocab, longest)][: MOST_TOKENS - 2], vocab["[SEP]"]] for t in texts]
         ids, mask = padded(rows)
         feed = {"input_ids": ids, "attention_mask": mask, "token_type_ids": np.zeros_like(ids)}
-        names = {i.name for i in session.get_inputs()}
-        outputs = [o.name for o in session.get_outputs()]
-        wanted = next((n for n in ("sentence_embedding", "last_hidden_state") if n in outputs), outputs[0])
-        return decode_output(session.run([wanted], {k: v for k, v in feed.items() if k in names})[0], mask)
+        names = {i.name for i in opened.get_inputs()}
+        output = pick_name([o.name for o in opened.get_outputs()], output_name, "sentence_embedding", "last_hidden_state")
+        return decode_output(model.run(output, {k: v for k, v in feed.items() if k in names}), mask)
 
-    return encode
+    return direct if profile == PROFILES[1] else tokenized
 
 
 def encode_messages(messages: DataFrame, encoder: Callable[[list[str]], np.ndarray], dimension: int, batch_size: int = 32) -> DataFrame:
@@ -146,5 +228,6 @@ def token_hash_embed(rows: DataFrame, key: str, text: str, dimension: int) -> Da
     tokens = rows.select(key, F.explode(basic_tokens(F.lower(text))).alias("token"))
     bucket = F.pmod(F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long"), F.lit(dimension))
     counted = tokens.groupBy(key, bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    size = counted.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("size"))
-    return counted.join(size, key).select(key, "bucket", (F.col("n") / F.col("size")).alias("weight"))
+    # A key has at most ``dimension`` rows here.
+    size = F.sqrt(F.sum(F.col("n") * F.col("n")).over(W.partitionBy(key)))
+    return counted.select(key, "bucket", (F.col("n") / size).alias("weight"))

@@ -19,7 +19,7 @@ SCHEMA_VERSION = 1
 
 def dedup_and_cluster(embedded: DataFrame, config: EngineConfig, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """All rows with their masters and clusters, and the masters with bodies."""
-    rows = tables.put("candidates", D.exact_masters(D.candidates(embedded)))
+    rows = tables.put("candidates", D.exact_masters(D.candidates(embedded), tables))
     rows = tables.put("semantic", D.semantic_masters(rows, config.dedup_threshold, tables, config.search))
     masters = D.with_bodies(rows)
     assigned = C.assign(masters.select("note_id", "source_chat", "source_msg_id", "embedding"), config.cluster_threshold, config.search)
@@ -86,10 +86,11 @@ def fingerprint(note_rows: DataFrame, cluster_rows: DataFrame, model: ModelInfo)
     def parts():
         for x in (SCHEMA_VERSION, model.model_id, model.model_hash, model.profile, model.vector_dimension):
             yield f"{x}\0".encode()
-        fields = F.concat_ws("\0", "id", "hash", "cluster_id", "title", "body", "duplicate_of", F.lit(""))
+        # concat_ws leaves null fields out, which would move the others.
+        fields = F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in ("id", "hash", "cluster_id", "title", "body", "duplicate_of")], F.lit(""))
         for r in note_rows.orderBy("id").select(fields.alias("t")).toLocalIterator():
             yield r.t.encode()
-        fields = F.concat_ws("\0", "id", "slug", "name", F.col("note_ids"), F.lit(""))
+        fields = F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in ("id", "slug", "name")], F.col("note_ids"), F.lit(""))
         for r in cluster_rows.orderBy("id").select(fields.alias("t")).toLocalIterator():
             yield r.t.encode()
 
@@ -101,7 +102,7 @@ def run_id(chat: str, messages: DataFrame, model: ModelInfo, config: EngineConfi
 
     def parts():
         yield f"{chat}{model.model_id}{model.model_hash}{model.profile}{config.run_mode}/{config.batch_mode}/{config.batch_size}".encode()
-        fields = F.concat("source_chat", F.col("source_msg_id").cast("string"), "text")
+        fields = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("source_chat", "source_msg_id", "text")])
         for r in messages.orderBy("source_msg_id", "source_chat").select(fields.alias("t")).toLocalIterator():
             yield r.t.encode()
 

@@ -112,6 +112,18 @@ def write_atomic(path: str, content: str) -> bool:
     return True
 
 
+def write_atomic_parts(path: str, parts: Iterable[str]) -> None:
+    """Writes a file of any length part by part; a reader never sees half of it."""
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    handle, temporary = tempfile.mkstemp(dir=os.path.dirname(path), prefix=".tmp-")
+    with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
+        for part in parts:
+            f.write(part)
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(temporary, path)
+
+
 def project(notes: DataFrame, clusters: DataFrame, model: ModelInfo, root: str) -> dict[str, int]:
     """Brings the files under ``root`` (shared by the executors) in line with a snapshot.
 
@@ -131,11 +143,16 @@ def project(notes: DataFrame, clusters: DataFrame, model: ModelInfo, root: str)
             yield pd.DataFrame({"written": [sum(done)]})
 
     desired.join(planned.where("status = 'written'"), "path").select("path", "content").mapInPandas(write, "written int").agg(F.sum("written")).collect()
-    folders = set()
-    for r in planned.where("status = 'pruned'").toLocalIterator():
-        (base / r.path).unlink(missing_ok=True)
-        folders.update(p for p in (base / r.path).parents if base in p.parents)
-    for folder in sorted(folders, key=lambda p: len(p.parts), reverse=True):
+
+    def remove(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p in batch["path"]:
+                Path(root, p).unlink(missing_ok=True)
+            yield pd.DataFrame({"folder": [str(f) for f in {f for p in batch["path"] for f in Path(p).parents} if f.name]})
+
+    # Executors remove the files; only the names of their folders, a few for each topic, come back.
+    folders = planned.where("status = 'pruned'").select("path").mapInPandas(remove, "folder string").distinct()
+    for folder in sorted((base / r.folder for r in folders.toLocalIterator()), key=lambda p: len(p.parts), reverse=True):
         if folder.is_dir() and not any(folder.iterdir()):
             folder.rmdir()
     planned.unpersist()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, model: ModelInfo, encode: Callable[[DataFrame], DataFrame], config: EngineConfig | None = None):
         self.spark, self.root, self.model, self.encode = spark, root, model, encode
         self.config = config or EngineConfig()
-        self.tables, self.header = f"{root}/_meta/tables", Path(root) / "_meta/header.json"
+        self.tables, self.header, self.manifest = f"{root}/_meta/tables", Path(root) / "_meta/header.json", Path(root) / "_meta/manifest.json"
 
     def previous(self) -> tuple[dict, DataFrame, DataFrame] | None:
         if not self.header.exists():
@@ -61,7 +62,7 @@ class Engine:
             if before and (Path(self.root) / vault.DIRTY).exists():
                 vault.project(before[1], before[2], self.model, self.root)
             return Outcome(False, None, before[0]["fingerprint"] if before else "", before[0]["counts"] if before else {})
-        embedded = incremental.merged(before[1], fetched, self.encode) if incremental_run else self.encode(fetched)
+        embedded = incremental.merged(before[1], fetched, self.encode, self.config.rebuild_text) if incremental_run else self.encode(fetched)
         embedded = work.put("embedded", embedded)
         rows, masters = manifest.dedup_and_cluster(embedded, self.config, work)
         notes = work.put("notes", manifest.notes(rows, masters, self.model))
@@ -79,4 +80,18 @@ class Engine:
         snapshot.save_tables(notes, clusters, place)
         model = {"model_id": self.model.model_id, "model_hash": self.model.model_hash, "model_profile": self.model.model_profile, "vector_dimension": self.model.vector_dimension}
         vault.write_atomic(str(self.header), json.dumps({"schema_version": manifest.SCHEMA_VERSION, "model": model, "fingerprint": mark, "counts": counts, "run_id": run_id, "tables": place}, indent=2) + "\n")
+        if self.config.json_snapshot:
+            self.write_json(notes, clusters, run_id, counts)
         return Outcome(True, vault.project(notes, clusters, self.model, self.root), mark, counts)
+
+    def write_json(self, notes: DataFrame, clusters: DataFrame, run_id: str, counts: dict[str, int]) -> None:
+        """The snapshot as one JSON file beside the tables, for other tools; turn ``json_snapshot`` off
+        for vaults that are too large for one file."""
+        span = manifest.span(notes.select(F.col("created_at").alias("date_utc"), "source_msg_id")).first()
+        stamp = lambda s: datetime.fromtimestamp(s, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        header = {
+            "schema_version": manifest.SCHEMA_VERSION, "model_id": self.model.model_id, "model_hash": self.model.model_hash, "model_profile": self.model.profile,
+            "normalization_rule": self.model.normalization_rule, "vector_dimension": self.model.vector_dimension, "last_run_utc": stamp(span.finished),
+        }
+        run = {"run_id": run_id, "started_at": stamp(span.started), "finished_at": stamp(span.finished), "watermark": span.watermark, **counts}
+        vault.write_atomic_parts(str(self.manifest), snapshot.document_lines(header, notes, clusters, run))

@@ -42,7 +42,7 @@ def embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     work = Tables(spark, "query")
-    rows = work.put("exact", dedup.exact_masters(dedup.candidates(embedded(spark, sf_dir))))
+    rows = work.put("exact", dedup.exact_masters(dedup.candidates(embedded(spark, sf_dir)), work))
     return work.put("semantic", dedup.semantic_masters(rows, CONFIG.dedup_threshold, work))
 
 
@@ -62,7 +62,7 @@ def watermark_scan(spark, sf_dir):
 
 
 def latest_version(spark, sf_dir):
-    r = records(spark, sf_dir).select("source_chat", (F.col("source_msg_id") % 300).alias("source_msg_id"), "date_utc", "edited_at_utc", F.col("source_msg_id").alias("arrival"))
+    r = records(spark, sf_dir).select("source_chat", F.expr("source_msg_id div 3").alias("source_msg_id"), "date_utc", "edited_at_utc", F.col("source_msg_id").alias("arrival"))
     return M.latest_versions(r).select("source_chat", "source_msg_id", "arrival")
 
 
@@ -100,7 +100,7 @@ def derive_title(spark, sf_dir):
 
 
 def slugify(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.substring("text", 1, 60).alias("name"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("key"), F.col("text").alias("name"))
     more = spark.createDataFrame([(f"extra {i}", n) for i, n in enumerate(sql.NAMES)], "key string, name string")
     return docs.unionByName(more).select("key", T.slugify(F.col("name")).alias("slug"))
 
@@ -121,7 +121,7 @@ def phone_mask(spark, sf_dir):
 
 
 def exact_dedup(spark, sf_dir):
-    rows = dedup.exact_masters(dedup.candidates(records(spark, sf_dir)))
+    rows = dedup.exact_masters(dedup.candidates(records(spark, sf_dir)).select("note_id", "hash", "ord"), Tables(spark, "query"))
     return rows.select("note_id", "hash", "exact_master", (F.col("note_id") == F.col("exact_master")).alias("is_master"))
 
 
@@ -206,7 +206,10 @@ def integrity_violations(spark, sf_dir):
 
 
 def _previous(spark, sf_dir):
-    r = records(spark, sf_dir).where("source_msg_id <= 400")
+    """The snapshot of an earlier run: all messages up to the middle of the ids, some with a blank body or title."""
+    r = records(spark, sf_dir)
+    # One row.
+    r = r.join(F.broadcast(r.agg(F.expr("(min(source_msg_id) + max(source_msg_id)) div 2").alias("middle"))), F.col("source_msg_id") <= F.col("middle")).drop("middle")
     body = F.when(F.col("source_msg_id") % 3 == 0, " \n").otherwise(F.concat(F.lit("# t\n\n"), "text"))
     title = F.when(F.col("source_msg_id") % 6 == 0, "").otherwise("some title")
     return r.select(T.note_id(F.col("source_chat"), F.col("source_msg_id")).alias("id"), "source_chat", "source_msg_id", title.alias("title"), body.alias("body"), F.array(F.lit(1.0).cast("float")).alias("embedding"), F.col("date_utc").alias("created_at"))
@@ -217,7 +220,7 @@ def new_messages_anti(spark, sf_dir):
 
 
 def previous_rebuild(spark, sf_dir):
-    again = records(spark, sf_dir).where("source_msg_id % 10 = 0")
+    again = records(spark, sf_dir).where("edited_at_utc is not null")
     out = incremental.rebuilt(_previous(spark, sf_dir), again)
     return out.select("source_msg_id", F.sha2("text", 256).alias("hash"), F.unix_seconds("edited_at_utc").alias("edit_epoch"))
 

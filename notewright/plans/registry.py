@@ -31,18 +31,29 @@ _UNIT = "u AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE / s
 _BIGS = ", ".join(f"({i}, {'NULL' if k is None else repr(k)}, {i_ if i_ is not None else 'NULL'}, {a if a is not None else 'NULL'}, {'NULL' if u is None else repr(u)})" for i, (k, i_, a, u) in enumerate(S.TARGET_ROWS))
 _PREV = """prev AS (
   SELECT source_chat || ':' || source_msg_id AS id, source_chat, source_msg_id, CASE WHEN source_msg_id % 6 = 0 THEN '' ELSE 'some title' END AS title,
-    CASE WHEN source_msg_id % 3 = 0 THEN ' ' || chr(10) ELSE '# t' || chr(10) || chr(10) || text END AS body FROM records WHERE source_msg_id <= 400)"""
+    CASE WHEN source_msg_id % 3 = 0 THEN ' ' || chr(10) ELSE '# t' || chr(10) || chr(10) || text END AS body FROM records WHERE source_msg_id <= (SELECT (min(source_msg_id) + max(source_msg_id)) // 2 FROM records))"""
 _BODY = rf"nullif(regexp_replace(body, '^{SPACE}+|{SPACE}+$', '', 'g'), '')"
 _PLAN = """WITH d AS (SELECT doc_id, 'topics/s/c:' || doc_id || CASE WHEN doc_id % 6 = 0 THEN '.txt' ELSE '.md' END AS path, text FROM documents),
 p AS (SELECT path, CASE WHEN doc_id % 5 = 0 THEN CASE WHEN doc_id % 3 <> 0 AND doc_id % 6 <> 0 THEN 'pruned' END
   WHEN doc_id % 3 <> 0 AND (doc_id % 2 = 0 OR text = 'old') THEN 'skipped' ELSE 'written' END AS status FROM d)
 """
+#: The times that were admitted in the window are carried from event to event of a user.
+_LIMITS = """WITH RECURSIVE e AS (
+  SELECT user_id, event_id, sec, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS r
+  FROM (SELECT user_id, event_id, epoch_us(ts::TIMESTAMP) / 1e6 AS sec FROM events WHERE user_id IS NOT NULL)
+), walk AS (
+  SELECT user_id, event_id, r, true AS allowed, [sec] AS seen FROM e WHERE r = 1
+  UNION ALL
+  SELECT user_id, event_id, r, len(seen) < 3, CASE WHEN len(seen) < 3 THEN list_append(seen, sec) ELSE seen END
+  FROM (SELECT e.user_id, e.event_id, e.r, e.sec, list_filter(w.seen, lambda t: t > e.sec - 86400) AS seen FROM walk w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1)
+) SELECT user_id, event_id, allowed FROM walk"""
 _TOKENS = "regexp_extract_all({0}, '[^\\s\\p{{P}}]+|\\p{{P}}')"
 ORACLES: dict[str, str] = {
+    "rate_limit_window": _LIMITS,
     "content_filter": f"{_REC} SELECT source_chat, source_msg_id FROM records WHERE kind = 'message' AND NOT {_BLANK} AND media_kind IS NULL",
     "watermark_scan": f"{_REC} SELECT source_chat, source_msg_id, length(text) AS n_chars FROM records WHERE source_msg_id > {S.WATERMARK} ORDER BY source_msg_id DESC LIMIT {S.NEWEST}",
-    "latest_version": f"""{_REC} SELECT source_chat, source_msg_id % 300 AS source_msg_id, source_msg_id AS arrival FROM records
-        QUALIFY row_number() OVER (PARTITION BY source_chat, source_msg_id % 300 ORDER BY edit_epoch DESC NULLS LAST, date_epoch DESC, source_msg_id) = 1""",
+    "latest_version": f"""{_REC} SELECT source_chat, source_msg_id // 3 AS source_msg_id, source_msg_id AS arrival FROM records
+        QUALIFY row_number() OVER (PARTITION BY source_chat, source_msg_id // 3 ORDER BY edit_epoch DESC NULLS LAST, date_epoch DESC, source_msg_id) = 1""",
     "row_violations": f"""{_REC}, b AS (SELECT CASE WHEN source_msg_id % 17 = 0 THEN '  ' ELSE source_chat END AS source_chat, CASE WHEN source_msg_id % 29 = 0 THEN 0 ELSE source_msg_id END AS source_msg_id,
         date_epoch, CASE WHEN source_msg_id % 19 = 0 THEN 1 ELSE edit_epoch END AS edit_epoch, CASE WHEN source_msg_id % 23 = 0 THEN -1 ELSE reply_to END AS reply_to FROM records),
         v AS (SELECT source_chat, source_msg_id, CASE WHEN trim(source_chat) = '' THEN 'chat is blank' WHEN source_msg_id <= 0 THEN 'id is not positive' WHEN date_epoch = 0 THEN 'date is missing'
@@ -54,7 +65,7 @@ ORACLES: dict[str, str] = {
     "target_parse": f"SELECT n::BIGINT AS n, kind, id::BIGINT AS id, access_hash::BIGINT AS access_hash, username FROM (VALUES {_BIGS}) t(n, kind, id, access_hash, username)",
     "normalize_text": S.upto(S.NORMAL, "SELECT source_msg_id, normalized FROM normal"),
     "derive_title": "WITH " + S.RECORDS.replace("SELECT source AS", "SELECT chr(10) || '> - 2) ' || text || '' AS unused, source AS").replace("text || CASE", "chr(10) || '> - 2) ' || text || CASE") + ",\n" + S.NORMAL + f"\nSELECT source_msg_id, {S.TITLE} AS title FROM normal",
-    "slugify": "WITH n AS (SELECT doc_id::VARCHAR AS key, substr(text, 1, 60) AS name FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('extra {i}', '{n}')" for i, n in enumerate(S.NAMES)) + f") t(key, name)) SELECT key, {S.slug('name')} AS slug FROM n",
+    "slugify": "WITH n AS (SELECT doc_id::VARCHAR AS key, text AS name FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('extra {i}', '{n}')" for i, n in enumerate(S.NAMES)) + f") t(key, name)) SELECT key, {S.slug('name')} AS slug FROM n",
     "note_id_order": f"{_REC} SELECT CASE WHEN source_msg_id % 9 = 0 THEN source_chat || ':x' ELSE source_chat || ':' || source_msg_id END AS note_id, CASE WHEN source_msg_id % 9 <> 0 THEN source_msg_id END AS suffix FROM records",
     "stem_guard": "SELECT n::BIGINT AS n, ok FROM (VALUES " + ", ".join(f"({i}, {str(ok).lower()})" for i, ok in enumerate(S.STEM_OK + S.PATH_OK)) + ") t(n, ok)",
     "phone_mask": "SELECT c_custkey, CASE WHEN length(c_custkey::VARCHAR) > 4 THEN '***' || right(c_custkey::VARCHAR, 4) ELSE c_custkey::VARCHAR END AS masked FROM customer",
@@ -86,9 +97,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'duplicate in another cluster', b.id FROM bad b JOIN bad m ON m.id = b.duplicate_of AND m.duplicate_of = '' WHERE m.cluster_id <> b.cluster_id
         UNION ALL SELECT 'cluster lists a foreign note', id FROM bad WHERE cluster_id <> true_cluster
         UNION ALL SELECT 'cluster misses a note', id FROM bad WHERE cluster_id <> true_cluster""").replace("\n, bad AS", ",\nbad AS"),
-    "new_messages_anti": f"{_REC} SELECT source_chat || ':' || source_msg_id AS note_id FROM records WHERE source_msg_id > 400",
-    "previous_rebuild": f"""{_REC}, {_PREV} SELECT p.source_msg_id, sha256(coalesce(r.text, {_BODY}, nullif(title, ''), p.id)) AS hash, r.edit_epoch FROM prev p LEFT JOIN (SELECT * FROM records WHERE source_msg_id % 10 = 0) r ON r.source_msg_id = p.source_msg_id""",
-    "incremental_merge": f"{_REC} SELECT source_msg_id, CASE WHEN source_msg_id <= 400 THEN 1.0 ELSE 2.0 END::DOUBLE AS first, sha256(text) AS hash FROM records",
+    "new_messages_anti": f"{_REC} SELECT source_chat || ':' || source_msg_id AS note_id FROM records WHERE source_msg_id > (SELECT (min(source_msg_id) + max(source_msg_id)) // 2 FROM records)",
+    "previous_rebuild": f"""{_REC}, {_PREV} SELECT p.source_msg_id, sha256(coalesce(r.text, {_BODY}, nullif(title, ''), p.id)) AS hash, r.edit_epoch FROM prev p LEFT JOIN (SELECT * FROM records WHERE edit_epoch IS NOT NULL) r ON r.source_msg_id = p.source_msg_id""",
+    "incremental_merge": f"{_REC} SELECT source_msg_id, CASE WHEN source_msg_id <= (SELECT (min(source_msg_id) + max(source_msg_id)) // 2 FROM records) THEN 1.0 ELSE 2.0 END::DOUBLE AS first, sha256(text) AS hash FROM records",
     "metadata_mismatch": """SELECT doc_id, concat_ws(', ', CASE WHEN doc_id % 5 = 0 THEN 'model_id existing="m" current="m2"' END, CASE WHEN doc_id % 3 <> 1 THEN 'model_hash existing="h' || (doc_id % 3) || '" current="h1"' END,
         CASE WHEN doc_id % 7 = 0 THEN 'model_profile existing="bert_tokenized_mean_pooling" current="string_input_direct"' END) AS mismatches FROM documents""",
     "vault_files": S.upto(S.NOTES, ", " + S.INDEX + " SELECT path, sha256(content) AS hash FROM files"),

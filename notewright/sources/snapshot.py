@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from notewright.config import DEFAULT_PROFILE, NORMALIZATION_RULE
 from notewright.functions.text import trim_spaces
@@ -29,11 +32,20 @@ def load_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Header, notes and clusters of a JSON snapshot.
 
-    Fields that the format does not have are refused.  Vectors are normalized again, blank rule and
+    Fields that the format does not have are refused at every level, and so is anything after the
+    document.  Vectors are normalized again, blank rule and
     profile get their defaults, and a body that differs from its hash fails when it is read.
     """
-    with_text = spark.read.option("wholetext", "true").text(path)
-    names = with_text.select(F.explode(F.json_object_keys("value")).alias("k")).where(~F.col("k").isin(*FIELDS)).collect()
+    with_text = spark.read.text(path, wholetext=True)
+    faults = with_text.select(_fault("value").alias("f")).where("f is not null").collect()
+    if faults:
+        raise ValueError(faults[0].f)
+    names = with_text.select(F.explode(F.json_object_keys("value")).alias("k")).where(~F.col("k").isin(*FIELDS))
+    parts = with_text.select(F.from_json("value", "notes array<string>, clusters array<string>").alias("d"))
+    for part, ddl in (("notes", NOTES), ("clusters", CLUSTERS)):
+        keys = parts.select(F.explode(f"d.{part}").alias("row")).select(F.explode(F.json_object_keys("row")).alias("k"))
+        names = names.unionByName(keys.where(~F.col("k").isin(*[x.split(" ")[0] for x in ddl.split(", ")])).select(F.concat(F.lit(f"{part}."), "k").alias("k")))
+    names = names.distinct().limit(20).collect()
     if names:
         raise ValueError(f"unknown fields {sorted(r.k for r in names)}")
     schema = HEADER + f", notes array<struct<{_struct(NOTES)}>>, clusters array<struct<{_struct(CLUSTERS)}>>, run_metadata string"
@@ -50,8 +62,41 @@ def _struct(ddl: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (x.split(" ", 1) for x in ddl.split(", ")))
 
 
+def document_lines(header: dict, notes: DataFrame, clusters: DataFrame, run_metadata: dict) -> Iterator[str]:
+    """The JSON document in parts; notes and clusters are sorted by id.  It is one file by nature, so
+    its rows pass through the driver, one at a time."""
+    indented = lambda value, by: json.dumps(value, indent=2, ensure_ascii=False).replace("\n", "\n" + " " * by)
+
+    def rows(df: DataFrame) -> Iterator[str]:
+        first = True
+        for r in df.orderBy("id").select(F.to_json(F.struct(*df.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})).toLocalIterator():
+            yield ("" if first else ",") + "\n    " + indented(json.loads(r[0]), 4)
+            first = False
+        yield "]" if first else "\n  ]"
+
+    yield "{"
+    for name, value in header.items():
+        yield f"\n  {json.dumps(name)}: {indented(value, 2)},"
+    yield '\n  "notes": ['
+    yield from rows(notes)
+    yield ',\n  "clusters": ['
+    yield from rows(clusters)
+    yield f',\n  "run_metadata": {indented(run_metadata, 2)}\n}}\n'
+
+
 def document(header: dict, notes: DataFrame, clusters: DataFrame, run_metadata: dict) -> str:
-    """The JSON document; notes and clusters are sorted by id.  It is one file by nature, so its rows
-    pass through the driver."""
-    rows = lambda df: [json.loads(r[0]) for r in df.orderBy("id").select(F.to_json(F.struct(*df.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss'Z'"})).toLocalIterator()]
-    return json.dumps(header | {"notes": rows(notes), "clusters": rows(clusters), "run_metadata": run_metadata}, indent=2, ensure_ascii=False) + "\n"
+    return "".join(document_lines(header, notes, clusters, run_metadata))
+
+
+@F.pandas_udf(StringType())
+def _fault(text: pd.Series) -> pd.Series:
+    """What keeps a text from being one JSON document: null, or in words."""
+
+    def fault(t: str) -> str | None:
+        try:
+            json.loads(t)
+        except json.JSONDecodeError as e:
+            return f"data after the document at {e.pos}" if e.msg == "Extra data" else str(e)
+        return None
+
+    return text.map(fault)

@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (one machine) a local folder."""
+    """``spark.checkpoint.dir`` of the session.  Only a session on one machine may leave it unset, and
+    gets a local folder; a cluster's executors would each write to their own disk."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="notewright-checkpoint-")
         sc.setCheckpointDir(found)
     return found

@@ -45,15 +45,23 @@ def limited(events: DataFrame, key: str, at: str, order: str, window: float = WI
     return rows.mapInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, allowed boolean")
 
 
-def limited_stream(events: DataFrame, key: str, at: str, window: float = WINDOW_S, most: int = MOST) -> DataFrame:
-    """The same on a stream, with the accepted times of each key as state."""
-    kind = events.schema[key].dataType.simpleString()
+def limited_stream(events: DataFrame, key: str, at: str, order: str | None = None, window: float = WINDOW_S, most: int = MOST) -> DataFrame:
+    """``key, at, order, allowed``: the same on a stream, with the accepted times of each key as state.
+
+    A key's events of one micro-batch come in several frames in any order; they are put in order of
+    time (then of ``order``) before any is admitted, so what is held is one key's events of a
+    micro-batch, two columns wide.  Events that arrive in a later micro-batch than later ones are
+    judged after these.
+    """
+    columns = [key, at] + [order] * bool(order)
+    kinds = {c: "double" if c == at else events.schema[c].dataType.simpleString() for c in columns}
 
     def run(k, frames, state: GroupState):
         seen = deque(state.get[0] if state.exists else [])
-        for frame in frames:
-            frame = frame.sort_values(at, kind="stable")
-            yield pd.DataFrame({key: [k[0]] * len(frame), at: frame[at].astype(float), "allowed": admit(frame[at].tolist(), seen, window, most)})
+        frame = pd.concat(list(frames), ignore_index=True).sort_values(columns[1:], kind="stable", ignore_index=True)
+        frame["allowed"] = admit(frame[at].tolist(), seen, window, most)
+        yield frame[[*columns, "allowed"]].astype({at: float})
         state.update((list(seen),))
 
-    return events.select(key, at).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, {at} double, allowed boolean", "seen array<double>", "append", GroupStateTimeout.NoTimeout)
+    ddl = ", ".join(f"{c} {t}" for c, t in kinds.items())
+    return events.select(*columns).groupBy(key).applyInPandasWithState(run, f"{ddl}, allowed boolean", "seen array<double>", "append", GroupStateTimeout.NoTimeout)

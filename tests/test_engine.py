@@ -89,10 +89,10 @@ def test_stream_gives_what_the_batch_gives(spark, tmp_path):
     events = spark.createDataFrame(rows, "user long, at double, n long")
     events.repartition(1).write.parquet(str(tmp_path / "in"))
     batch = {(r.user, r.n): r.allowed for r in limits.limited(events, "user", "at", "n", 10, 2).collect()}
-    stream = limits.limited_stream(spark.readStream.schema("user long, at double, n long").parquet(str(tmp_path / "in")), "user", "at", 10, 2)
+    stream = limits.limited_stream(spark.readStream.schema("user long, at double, n long").parquet(str(tmp_path / "in")), "user", "at", "n", 10, 2)
     query = stream.writeStream.format("memory").queryName("limited_test").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    got = {(r.user, int(r.at)): r.allowed for r in spark.table("limited_test").collect()}
+    got = {(r.user, r.n): r.allowed for r in spark.table("limited_test").collect()}
     assert got == batch
 
 

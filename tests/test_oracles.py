@@ -37,4 +37,4 @@ def test_same_as_sql(spark, sf_dir, duck, name):
 
 
 def test_all_queries_have_sql_but_those_that_cannot():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"wordpiece_ids", "rate_limit_window"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"wordpiece_ids"}
