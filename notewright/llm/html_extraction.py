@@ -17,9 +17,11 @@ group gets those of its runs that recur, so a page's text does not depend on its
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,28 +40,108 @@ MOST_PAGES, LEAST_PAGES = 5, 3
 #: Hosts over GROUP_PAGES that are broadcast; with more, they are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|iframe|object|svg|math|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
-#: Fixed values of HTML: elements that start a block, and elements without an end.
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Fixed values of HTML: elements whose content is no markup, elements that start a block, elements without an end.
+RAW = frozenset("script style textarea iframe title noembed noframes xmp".split())
+BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BREAKS = frozenset(["br", "hr"])
 #: Elements that end a paragraph left open.
-CLOSES_P = BLOCKS - {"br", "option", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-DROPPED = frozenset("nav header footer aside form button menu dialog head label input".split())
+CLOSES_P = BLOCKS - {"option", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
+DROPPED = frozenset("nav header footer aside button menu dialog head select object svg noscript template".split())
 MAIN = frozenset(["article", "main"])
-#: Words in class, id and role names that mark what is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|breadcrumbs?|side-?bar|footer|header|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|replies|widget|toolbar|pagination|pager|skip|copyright|legal)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of class, id and role names that mark what is not the article.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertising advertorial sponsor sponsors sponsored promo promos promotion promoted banner banners menu menus nav navbar navigation"
+    " breadcrumb breadcrumbs sidebar sidebars footer header masthead cookie cookies consent gdpr notice notices alert popup modal newsletter newsletters subscribe subscription"
+    " signup login share sharing social related recommended recommendations comment comments disqus reply replies respond widget widgets toolbar pagination pager skip copyright legal disclaimer".split()
+)
+#: Words that may stand beside a mark in a name; with any other word ("with-sidebar", "entry-header") it marks nothing.
+BESIDE = frozenset(
+    "site page main top bottom left right center primary secondary global local mobile desktop sticky fixed floating inline list lists item items box boxes block blocks bar bars container containers wrapper"
+    " wrap area areas section sections inner outer link links button buttons icon icons unit units slot slots zone form forms text message messages overlay content contents body holder group row col column"
+    " module panel posts articles stories news media meta thread count author avatar date js no id the de us google policy privacy side crumbs trail toggle collapse dropdown tabs tab bread rail tools".split()
 )
-NAMES = re.compile(r"""\b(?:class|id|role|hidden|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+PARTS = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|$|=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-ARTICLE, MARKED, OPEN = 0, 1, 2
+TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+ENDS = re.compile(r"""=\s*(["'])|>""")
+#: Kinds of blocks; an article within a FORM is one, within what is MARKED it is none.
+ARTICLE, MARKED, OPEN, FORM = 0, 1, 2, 3
+
+
+@functools.lru_cache(maxsize=4096)
+def marks(name: str) -> bool:
+    """Whether a class, id or role name marks what is not the article: all its words are marks or stand
+    beside marks ("site-footer", "adBox1"), and one is a mark."""
+    words = [w.lower() for w in PARTS.findall(name) if not w.isdigit()]
+    return any(w in MARKS for w in words) and all(w in MARKS or w in BESIDE or len(w) == 1 for w in words)
+
+
+class Tokens:
+    """The tags and texts of a page in order, each place looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.lower = page, True, None
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag that starts at ``at`` ends, -1 if it does not; values in quotes may hold ``>``."""
+        i = at
+        while self.quotes:
+            m = ENDS.search(self.page, i)
+            if m is None:
+                self.quotes = False  # from here on no tag ends outside of quotes: they are taken as they come
+                break
+            if m[1] is None:
+                return m.end()
+            i = self.page.find(m[1], m.end()) + 1
+            if not i:
+                self.quotes = False
+        i = self.page.find(">", at) + 1
+        return i or -1
+
+    def __iter__(self) -> Iterator[tuple[str, bool, str]]:
+        """``("", False, text)``, or the name of a tag in lower case, whether it is an end, its rest."""
+        page, at, n = self.page, 0, len(self.page)
+        text = 0  # where the text not yet given starts
+        while at < n:
+            start = page.find("<", at)
+            if start < 0:
+                break
+            m = TAG.match(page, start)
+            if m is None:
+                if page.startswith("<!--", start):
+                    end = page.find("-->", start + 4) + 3
+                    end = n if end < 3 else end
+                elif page.startswith(("<!", "<?", "</"), start):
+                    end = page.find(">", start) + 1 or n
+                else:
+                    at = start + 1
+                    continue
+                if text < start:
+                    yield "", False, page[text:start]
+                at = text = end
+                continue
+            end = self.tag_end(m.end())
+            if end < 0:
+                break  # no tag ends any more: the rest is text
+            if text < start:
+                yield "", False, page[text:start]
+            name, closing = m[1].lower(), page[start + 1] == "/"
+            yield name, closing, page[m.end() : end - 1]
+            at = text = end
+            if name in RAW and not closing:
+                if self.lower is None:
+                    # Lower case of A-Z alone keeps all places.
+                    self.lower = page.translate(LOWER)
+                at = text = self.lower.find(f"</{name}", end)
+                if at < 0:
+                    return
+        if text < n:
+            yield "", False, page[text:]
+
+
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
@@ -67,57 +149,62 @@ def blocks(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = [("", OPEN)]
+    tall: list[int] = [0]  # places of block elements in the stack
+    opened: Counter[str] = Counter()
 
     def close_block() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            text = " ".join("".join(parts).split())
             if text:
                 out.append((stack[-1][1], text))
             parts.clear()
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
+    def cut(i: int) -> None:
+        if any(k != stack[-1][1] for k in (stack[i][1], stack[i - 1][1])):
+            close_block()
+        for name, _ in stack[i:]:
+            opened[name] -= 1
+        del stack[i:]
+        while tall[-1] >= i:
+            tall.pop()
+
+    for tag, closing, rest in Tokens(page):
+        if not tag:
+            parts.append(html.unescape(rest) if "&" in rest else rest)
             continue
-        tag = tag.lower()
         block = tag in BLOCKS
-        if block or tag in DROPPED:
+        if block or tag in DROPPED or tag in BREAKS:
             close_block()
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if stack[i][1] != stack[-1][1] or stack[i - 1][1] != stack[-1][1]:
-                        close_block()
-                    del stack[i:]
-                    break
+        if closing:
+            if opened[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                cut(i)
             continue
-        if tag in VOID or m["rest"].rstrip().endswith("/") and not block:
+        if tag in VOID or rest.endswith("/") and not block and tag not in DROPPED:
             continue
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCKS:
-                    break
+        if tag in CLOSES_P and stack[tall[-1]][0] == "p":
+            cut(tall[-1])
         kind = stack[-1][1]
         if kind != MARKED:
-            rest = m["rest"]
             if tag in DROPPED and not (tag == "header" and kind == ARTICLE):
                 kind = MARKED
-            elif rest and "=" in rest and tag not in ("html", "body") and (HIDDEN.search(rest) or any(MARKS.search(" ".join(n)) for n in NAMES.findall(rest))):
+            elif rest and HIDDEN.search(rest) and tag not in ("html", "body"):
+                kind = MARKED
+            # In an article's sentences a name marks nothing; comments and teasers can be articles too.
+            elif (block or kind != ARTICLE) and "=" in rest and tag not in ("html", "body", "main") and any(marks(n) for found in NAMES.findall(rest) for n in "".join(found).split()):
                 kind = MARKED
             elif tag in MAIN:
                 kind = ARTICLE
+            elif tag == "form":
+                kind = FORM
         if kind != stack[-1][1]:
             close_block()
         stack.append((tag, kind))
-    if at < len(page):
-        parts.append(page[at:])
+        opened[tag] += 1
+        if block:
+            tall.append(len(stack) - 1)
     close_block()
     return out
 
@@ -244,7 +331,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             "host": batch.column(2),
             "article": [zlib.compress("\n".join(t for k, t in f if k == ARTICLE).encode("utf-8", "replace"), 1) for f in found],
             "around": [[t for k, t in f if k != ARTICLE] for f in found],
-            "marked": [[k == MARKED for k, t in f if k != ARTICLE] for f in found],
+            "marked": [[k in (MARKED, FORM) for k, t in f if k != ARTICLE] for f in found],
             "has_article": [any(k == ARTICLE for k, _ in f) for f in found],
         }
 
