@@ -33,7 +33,13 @@ LANDMARKS = 256
 SAMPLE, LONGEST = 3000, 65_536
 #: Words whose subsequences are laid out at once.
 PORTION = 4096
+#: Rounds of the fit, words of a text that a round looks at, how soon a word that is less bad than the worst counts
+#: less, and words whose margins are followed after the first round.
+ROUNDS, WORST, SOFTNESS, NEAR = 5, 6, 0.25, 30_000
+#: What a text's calibrated score is made of; the margin from which a word is surely toxic.
+FEATURES, SURE = 4, 0.8
 SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+PIECES = re.compile(r"[^\W_]{3,}")
 A, B, C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -98,12 +104,11 @@ def kernel_to(words: list[str], landmarks: list[str]) -> np.ndarray:
 @dataclass
 class Model:
     """One weight for each hashed subsequence, the machine's constant, and the calibration of a text's
-    (worst, second worst, share of words over 0) into a probability."""
+    ``FEATURES`` numbers (see ``Scorer.summary``) into a probability."""
 
     weights: np.ndarray
     constant: float
     calibration: np.ndarray
-    words: list[str]
 
     def margins(self, words: list[str]) -> np.ndarray:
         if not words:
@@ -119,30 +124,37 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.words = WordTable(lambda tokens: self.model.margins([plain(t) for t in tokens])[:, None], 1)
+        self.words = WordTable(lambda tokens: self.tokens(tokens)[:, None], 1)
+
+    def tokens(self, tokens: list[str]) -> np.ndarray:
+        """The margin of each token with the signs in it left out, or that of its worst piece between
+        signs if this is more."""
+        m = self.model.margins([plain(t) for t in tokens])
+        pieces = [(i, p) for i, t in enumerate(tokens) if not t.isalnum() for p in PIECES.findall(t.lower())]
+        if pieces:
+            np.maximum.at(m, [i for i, _ in pieces], self.model.margins([p for _, p in pieces]))
+        return m
 
     def summary(self, texts: list[str]) -> np.ndarray:
+        """For each text the margins of its worst and second worst word, between -1 and 1, and the
+        logarithm of how many words are beyond 0, and beyond ``SURE``."""
         ids = self.words.ids([units(t) for t in texts])
-        out = np.tile([-2.0, -2.0, 0.0], (len(texts), 1))
+        out = np.tile([-1.0, -1.0, 0.0, 0.0], (len(texts), 1))
         column = self.words.rows[:, 0]
         for k, i in enumerate(ids):
             if len(i):
-                m = column[i]
-                top = m.argmax()
-                out[k, 0] = m[top]
-                m = m[m < m[top]] if (m == m[top]).sum() < 2 else m
-                out[k, 1] = m.max() if len(m) else -2.0
-                out[k, 2] = np.log1p((column[i] > 0).sum())
+                m = np.sort(np.clip(column[np.unique(i)], -1, 1))
+                out[k] = m[-1], m[-2] if len(m) > 1 else -1.0, np.log1p((m > 0).sum()), np.log1p((m >= SURE).sum())
         return out
 
     def score(self, texts: list[str]) -> np.ndarray:
         c = self.model.calibration
-        return 1 / (1 + np.exp(-np.clip(np.clip(self.summary(texts), -2, 2) @ c[:-1] + c[-1], -35, 35)))
+        return 1 / (1 + np.exp(-np.clip(self.summary(texts) @ c[:-1] + c[-1], -35, 35)))
 
 
-def suspicious_words(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[str]]:
-    """Words that toxic texts hold more often than chance allows, and words of clean texts, the most
-    frequent first.
+def telling_words(texts: list[str], toxic: np.ndarray) -> tuple[list[str], list[str]]:
+    """Words to choose landmarks from: those that toxic texts hold more often than chance allows, and
+    words of clean texts, the most frequent first.
 
     A word is counted once for each surrounding (the words before and after it) and text label.
     """
@@ -186,49 +198,84 @@ def machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 10.0
     return w
 
 
+def nystroem(landmarks: list[str]) -> np.ndarray:
+    """The matrix that takes kernels with the landmarks to coordinates whose products are the kernel."""
+    k = kernel_to(landmarks, landmarks)
+    values, vectors = np.linalg.eigh((k + k.T) / 2)
+    good = values > 1e-6 * values.max()
+    return vectors[:, good] / np.sqrt(values[good])
+
+
 def train(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 8) -> Model:
-    """Fits on three quarters of the texts, calibrates on the rest."""
+    """Fits on three quarters of the texts, calibrates on the rest.
+
+    The machine learns labelled texts.  The kernel of two texts is the sum of the kernels of their
+    words, each weighed by how the machine of the round before takes it, so a toxic text is one
+    example made of its worst words; of a clean text every word is clean, and its worst ones are an
+    example each.  Toxic texts without any word near the others' are left out as mislabelled.
+    """
     base = float(np.clip(np.average(toxic, weights=weight) if len(toxic) else 0.0, 1e-3, 0.4))
-    nothing = Model(np.zeros(1 << BITS), -1.0, np.array([0.0, 0.0, 0.0, np.log(base / (1 - base))]), [])
+    nothing = Model(np.zeros(1 << BITS), -1.0, np.array([0.0] * FEATURES + [np.log(base / (1 - base))]))
     if len(texts) < 8:
         return nothing
     learn = np.arange(len(texts)) % 4 != 3
-    bad, clean = suspicious_words([t for t, k in zip(texts, learn, strict=True) if k], toxic[learn])
+    learned = [t for t, k in zip(texts, learn, strict=True) if k]
+    y, cost = np.where(toxic[learn] > 0, 1.0, -1.0), weight[learn]
+    bad, clean = telling_words(learned, toxic[learn])
     if not bad or not clean:
         return nothing
     rng = np.random.default_rng(seed)
     pick = lambda pool, n: [pool[i] for i in np.sort(rng.choice(len(pool), min(n, len(pool)), replace=False))]
     landmarks = pick(bad, LANDMARKS // 2) + pick(clean, LANDMARKS // 2)
-    k = kernel_to(landmarks, landmarks)
-    values, vectors = np.linalg.eigh((k + k.T) / 2)
-    good = values > 1e-6 * values.max()
-    root = vectors[:, good] / np.sqrt(values[good])
-    negative = pick(clean, 6000)
-    # The words that clean texts hold most often, and some of the rest.
-    pool = sorted(set(clean[:40_000]) | set(pick(clean, 40_000)) - set(bad))
+    root = nystroem(landmarks)
     f, o, w = features(landmarks)
-    for _ in range(4):
-        words = bad + negative
-        y = np.r_[np.ones(len(bad)), -np.ones(len(negative))]
-        balance = np.where(y > 0, 0.5 / len(bad), 0.5 / len(negative)) * len(words)
-        v = machine(kernel_to(words, landmarks) @ root, y, balance)
-        beta = root @ v[:-1]
-        folded = np.bincount(f, w * beta[o], 1 << BITS)
-        model = Model(folded, float(v[-1]), nothing.calibration, bad)
-        # Hard negatives: the clean words that the machine likes most join the next round.
-        m = model.margins(pool)
-        hard = [pool[i] for i in np.argsort(-m)[:1000] if m[i] > -1]
-        fresh = sorted(set(hard) - set(negative))
-        if not fresh:
-            break
-        negative += fresh
+    n_bad = min(LANDMARKS // 2, len(bad))
+    # The first machine: nearness to the one half of the landmarks less that to the other.
+    sign = np.r_[np.full(n_bad, 1 / n_bad), np.full(len(landmarks) - n_bad, -1 / (len(landmarks) - n_bad))]
+    model = Model(np.bincount(f, w * sign[o], 1 << BITS), 0.0, nothing.calibration)
+    vocabulary: dict[str, int] = {}
+    held = [np.unique(np.fromiter((vocabulary.setdefault(u, len(vocabulary)) for u in map(plain, units(t)) if len(u) > 1), np.int64, -1)) for t in learned]
+    names = np.array(list(vocabulary), object)
+    margin, near = model.margins(names.tolist()), np.arange(len(names))
+    known: dict[int, np.ndarray] = {}
+    for turn in range(ROUNDS):
+        # The words of each text that count, the worst first.
+        worst = [i[np.argsort(-margin[i], kind="stable")[:WORST]] for i in held]
+        fresh = sorted({int(i) for k in worst for i in k} - set(known))
+        known.update(zip(fresh, kernel_to(names[fresh].tolist(), landmarks) @ root, strict=True))
+        x, label, each = [], [], []
+        for i, t, c in zip(worst, y, cost, strict=True):
+            if not len(i):
+                continue
+            m = margin[i]
+            if t > 0:
+                if turn and m[0] < -1:
+                    continue
+                share = np.exp((m - m[0]) / SOFTNESS)
+                x.append(share @ np.array([known[j] for j in i.tolist()]) / share.sum())
+                label.append(1.0)
+                each.append(c)
+            else:
+                x += [known[j] for j in i.tolist()]
+                label += [-1.0] * len(i)
+                each += [c / len(i)] * len(i)
+        if len(set(label)) < 2:
+            return nothing
+        label, each = np.array(label), np.array(each)
+        for side in (1, -1):
+            each[label == side] *= 0.5 * len(learned) / each[label == side].sum()
+        v = machine(np.array(x), label, each)
+        model = Model(np.bincount(f, w * (root @ v[:-1])[o], 1 << BITS), float(v[-1]), nothing.calibration)
+        margin[near] = model.margins(names[near].tolist())
+        # Words that no machine takes to be toxic stay what they are.
+        near = np.argsort(-margin, kind="stable")[:NEAR]
     scorer = Scorer(model)
     check = np.flatnonzero(~learn)
-    x = np.clip(scorer.summary([texts[i] for i in check]), -2, 2)
+    x = scorer.summary([texts[i] for i in check])
     if toxic[check].min() < toxic[check].max():
         model.calibration = fit_logistic(x, toxic[check].astype(float), l2=0.1, weight=weight[check])
     else:
-        model.calibration = np.array([4.0, 0.0, 0.0, 0.0])
+        model.calibration = np.array([4.0] + [0.0] * FEATURES)
     return model
 
 
