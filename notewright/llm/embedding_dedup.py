@@ -11,9 +11,10 @@ sample; vectors that centres do not separate are one region, whose blocks are al
 overlapping shards.  In each shard the nearest neighbours of a vector are pruned by the robust rule (a
 neighbour goes if another kept one is nearer to it by the factor ``ALPHA``); the shards' adjacency
 lists are united, with their reverse links, into one flat graph.  Every vector is then searched for:
-a greedy beam search starts at the nearest shards' medoids; what the searches find close by is linked
-too, and then each one's finds are expanded along the graph until no further vector is in range.  Every link is verified by its cosine in double
-precision.  A bounded sample of vectors audits the region by brute force, half of it vectors with
+a greedy beam search starts at the nearest shards' medoids, and what it finds is expanded along nodes
+(nearly) in range until there are no more.  Ranges that touch are expanded once for all their vectors,
+so a group of near copies costs one product of matrices.  Every pair of a range is verified by its
+cosine in double precision.  A bounded sample of vectors audits the region by brute force, half of it vectors with
 something close by; a region with a miss is searched exactly, in blocks.  In the end a bounded sample
 of classes, most of them with links, is held against all classes of the table; if one of these misses
 a link, all regions are searched exactly.
@@ -49,6 +50,8 @@ LINKED, LONELY = 192, 64
 SAMPLE, SAMPLE_NUMBERS, MOST_CENTRES = 20_000, 4_000_000, 2048
 SHARD, NEIGHBOURS, DEGREE, ALPHA = 96, 24, 12, 1.2
 BEAM, STARTS, SLACK, AUDIT = 12, 4, 0.04, 48
+#: Pairs of vectors that are held against each other at once.
+BLOCK_PAIRS = 2_000_000
 
 
 def usable(v) -> np.ndarray | None:
@@ -217,84 +220,66 @@ class Graph:
             ids[active], sims[active], done[active] = (np.take_along_axis(x, top, 1) for x in (all_ids, all_sims, all_done))
         return np.where(sims > -3, ids, -1)
 
-    def expand(self, query: int, found: np.ndarray, threshold: float) -> np.ndarray:
-        """All nodes in range that can be reached from ``found`` along nodes (nearly) in range."""
-        seen = np.zeros(len(self.v), bool)
-        q, inside = self.v[query], []
-        front = np.unique(found[found >= 0])
-        seen[front] = True
-        while len(front):
-            s = self.v[front] @ q
-            inside.append(front[s >= threshold])
-            front = front[s >= threshold - SLACK]
-            if not len(front):
-                break
-            front = np.unique(np.concatenate([self.to[self.start[f] : self.start[f + 1]] for f in front]))
-            front = front[~seen[front]]
-            seen[front] = True
-        return np.concatenate(inside) if inside else np.zeros(0, np.int64)
-
-
-def region_links(v: np.ndarray, threshold: float, blocks: bool = False) -> Iterator[tuple[int, np.ndarray]]:
-    """For each vector of a region the vectors linked with it (itself left out); with ``blocks`` by
-    brute force."""
-
-    def exact(queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        for at in range(0, len(queries), 512):
-            part = queries[at : at + 512]
-            row, col = np.nonzero(v[part] @ v.T >= threshold)
-            starts = np.searchsorted(row, np.arange(len(part) + 1))
-            for i, q in enumerate(part):
-                got = col[starts[i] : starts[i + 1]]
-                yield int(q), got[got != q]
-
-    if blocks:
-        yield from exact(np.arange(len(v)))
-        return
-    graph = Graph(v)
+    def ranges(self, beams: np.ndarray, threshold: float) -> np.ndarray:
+        """Range expansion for all nodes at once: from a node and what its search found, along nodes
+        (nearly) in range, until no further one is.  Nodes that reach each other get one number."""
+        v, n = self.v, len(self.v)
+        row, col = np.nonzero(beams >= 0)
+        steps = np.concatenate([self.links, np.column_stack([row, beams[row, col]])])
+        close = [np.einsum("nd,nd->n", v[e[:, 0]], v[e[:, 1]]) >= threshold - SLACK for e in (steps[i : i + 65_536] for i in range(0, len(steps), 65_536))]
+        steps = steps[np.concatenate(close)] if close else steps
+        label = np.arange(n)
+        while len(steps):
+            a, b = label[steps[:, 0]], label[steps[:, 1]]
+            differ = a != b
+            steps = steps[differ]
+            np.minimum.at(label, np.maximum(a, b)[differ], np.minimum(a, b)[differ])
+            while (label[label] != label).any():
+                label = label[label]
+        return label
+
+
+#: Vectors held against others, and whether each pair is in range.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def held_against(v: np.ndarray, own: np.ndarray, other: np.ndarray, threshold: float) -> Iterator[Block]:
+    """All pairs of ``own`` and ``other`` by cosine in double precision, in blocks of bounded size."""
+    to = v[other].T
+    step = max(1, BLOCK_PAIRS // max(1, len(other)))
+    for at in range(0, len(own), step):
+        part = own[at : at + step]
+        yield part, other, v[part] @ to >= threshold
+
+
+def region_links(v: np.ndarray, threshold: float, blocks: bool = False) -> Iterator[Block]:
+    """The links of a region's vectors; with ``blocks`` by brute force."""
     everyone = np.arange(len(v))
-    beams = np.concatenate([graph.greedy(everyone[at : at + 1024]) for at in range(0, len(v), 1024)])
-    near = np.concatenate([np.einsum("nd,nkd->nk", v[at : at + 1024], v[beams[at : at + 1024]]) for at in range(0, len(v), 1024)])
-    near = (beams >= 0) & (beams != everyone[:, None]) & (near >= threshold - SLACK)
-    # What the searches found close by is linked too, so that ranges are connected.
-    row, col = np.nonzero(near)
-    graph.connect(np.concatenate([graph.links, np.column_stack([row, beams[row, col]])]))
-    # Every vector asked for is a node itself: its own adjacency list is part of what it found.
-    close = np.zeros(len(v), bool)
-    for at in range(0, len(graph.links), 65_536):
-        e = graph.links[at : at + 65_536]
-        close[e[np.einsum("nd,nd->n", v[e[:, 0]], v[e[:, 1]]) >= threshold - SLACK, 0]] = True
-
-    def search(queries: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        for q in queries.tolist():
-            got = graph.expand(q, np.r_[q, beams[q][near[q]]], threshold) if close[q] else np.zeros(0, np.int64)
-            yield q, got[got != q]
-
-    spread = lambda of: of[np.linspace(0, len(of) - 1, min(AUDIT, len(of))).astype(np.int64)]
-    audit = np.unique(np.r_[spread(everyone), spread(np.flatnonzero(close))])
-    truth = dict(exact(audit))
-    good = all(len(got) == len(truth[q]) for q, got in search(audit))
-    yield from (search if good else exact)(np.arange(len(v)))
-
-
-def part_links(v: np.ndarray, parts: np.ndarray, threshold: float) -> Iterator[tuple[int, np.ndarray]]:
-    """For each vector of two parts of a region the vectors of the other part linked with it, by brute
-    force: blocks in single precision with room for its error, what they find in double precision."""
-    if parts.min() == parts.max():
-        return
-    low = v.astype(np.float32)
-    one, two = (np.flatnonzero(parts == p) for p in (parts.min(), parts.max()))
-    for ask, other in ((one, two), (two, one)):
-        to = low[other].T
-        for at in range(0, len(ask), 512):
-            own = ask[at : at + 512]
-            row, col = np.nonzero(low[own] @ to >= np.float32(threshold - 1e-4))
-            ok = [np.einsum("nd,nd->n", v[own[row[i : i + 65_536]]], v[other[col[i : i + 65_536]]]) >= threshold for i in range(0, len(row), 65_536)]
-            ok = np.concatenate(ok) if ok else np.zeros(0, bool)
-            row, col = row[ok], col[ok]
-            starts = np.searchsorted(row, np.arange(len(own) + 1))
-            for i in np.unique(row).tolist():
-                yield int(own[i]), other[col[starts[i] : starts[i + 1]]]
+    if not blocks:
+        graph = Graph(v)
+        beams = np.concatenate([graph.greedy(everyone[at : at + 1024]) for at in range(0, len(v), 1024)])
+        label = graph.ranges(beams, threshold)
+        order = np.argsort(label, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+        groups = {int(label[g[0]]): g for g in groups if len(g) > 1}
+        near = everyone[np.isin(label, list(groups))]
+        spread = lambda of: of[np.linspace(0, len(of) - 1, min(AUDIT, len(of))).astype(np.int64)]
+        audit = np.unique(np.r_[spread(everyone), spread(near)])
+        truth = np.concatenate([m.sum(1) for _, _, m in held_against(v, audit, everyone, threshold)])
+        found = [(v[groups.get(int(label[q]), everyone[q : q + 1])] @ v[q] >= threshold).sum() for q in audit.tolist()]
+        if (truth <= found).all():
+            for g in groups.values():
+                yield from held_against(v, g, g, threshold)
+            return
+    yield from held_against(v, everyone, everyone, threshold)
+
+
+def part_links(v: np.ndarray, parts: np.ndarray, threshold: float) -> Iterator[Block]:
+    """The links between vectors of two parts of a region, by brute force."""
+    if parts.min() < parts.max():
+        one, two = (np.flatnonzero(parts == p) for p in (parts.min(), parts.max()))
+        yield from held_against(v, one, two, threshold)
+        yield from held_against(v, two, one, threshold)
 
 
 def region_rows(digests: list[bytes], v: np.ndarray, copies: np.ndarray, homes: np.ndarray, parts: np.ndarray, region: int, across: bool, threshold: float, blocks: bool) -> tuple[list[int], list[bytes]]:
@@ -307,17 +292,27 @@ def region_rows(digests: list[bytes], v: np.ndarray, copies: np.ndarray, homes:
             parent[x] = x = parent[parent[x]]
         return x
 
-    links = [0] * len(v)
-    for q, got in part_links(v, parts, threshold) if across else region_links(v, threshold, blocks):
-        if not len(got):
-            continue
-        # The lower one of the homes counts the link.
-        links[q] = int(copies[got][np.minimum(homes[got], homes[q]) == region].sum())
-        for x in got.tolist():
-            a, b = find(q), find(x)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    return links, [digests[find(i)] for i in range(len(v))]
+    links = np.zeros(len(v), np.int64)
+    label = np.arange(len(v))  # a member of the same group, seen some time ago
+    # The lower one of the homes counts the link: a class at home here counts all of its links.
+    home = homes == region
+    counts = np.column_stack([copies * home, copies])
+    for own, other, near in part_links(v, parts, threshold) if across else region_links(v, threshold, blocks):
+        totals = near.astype(np.float64) @ counts[other]
+        links[own] += np.where(home[own], totals[:, 1], totals[:, 0]).astype(np.int64)
+        for q, hit in zip(own.tolist(), near, strict=True):
+            got = other[hit]
+            seen = label[got]
+            if (seen == label[q]).all():
+                continue
+            roots = sorted({find(x) for x in np.unique(seen).tolist()} | {find(q)})
+            for x in roots[1:]:
+                parent[x] = roots[0]
+            label[got] = label[q] = roots[0]
+    if not across:
+        # A vector is in range of itself, where it was held against anything.
+        links -= np.where(links > 0, copies * home, 0)
+    return links.tolist(), [digests[find(i)] for i in range(len(v))]
 
 
 def near_vectors(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", threshold: float = THRESHOLD) -> DataFrame:
@@ -468,5 +463,25 @@ def audit_recall(vectors: DataFrame, result: DataFrame, vector: str = "embedding
     return sum(min(got[k], n) for k, n in want.items()) / total if total else 1.0
 
 
+#: The same in SQL, by all pairs; vec_id is unique in the table.
+OP3_SQL = """
+WITH RECURSIVE units AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+  WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.v, b.v) >= 0.95 * a.size * b.size
+), counted AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(b, vec_id)) AS component_id, vec_id <= coalesce(b, vec_id) AS kept
+FROM embeddings LEFT JOIN counted ON counted.a = vec_id LEFT JOIN least ON least.a = vec_id
+"""
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(common.table(spark, sf_dir, "embeddings"))
