@@ -40,7 +40,8 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
     Water filling in closed form.  Sources in order of cap over weight: while the level that the
     rest of the budget would reach is over a source's cap, the source is filled to its cap.  The
-    windows without a partition run over one row for each source, after aggregation.
+    windows without a partition run over one row for each source, after aggregation: one task, which
+    some millions of sources fit.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -76,7 +77,8 @@ def queue(docs: DataFrame, text: str, key: str, source: str, weights: tuple[int,
     ahead = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select("source", "part", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
     offsets = offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(offsets["source"], "part", "offset", "source_size", "target")
-    inside = W.partitionBy("source", "part").orderBy("h", "key", "size").rowsBetween(W.unboundedPreceding, 0)
+    # Rows that agree in all of these are taken together or not at all.
+    inside = W.partitionBy("source", "part").orderBy("h", "key", "size").rangeBetween(W.unboundedPreceding, W.currentRow)
     rows = rows.withColumn("inner", F.sum("size").over(inside)).alias("r")
     joined = rows.join(offsets.alias("o"), F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.part") == F.col("o.part")))
     first = (F.col("inner") + F.col("offset")) / F.col("target")
@@ -90,7 +92,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     """``key, size, source_size, target, taken`` for every document.
 
     ``taken`` is a whole multiple of ``size``, 0 to ``times`` of it.  The order of a source is a hash
-    of the key; rows that agree in key, source and size are alike, so reruns agree.  Null texts and
+    of the key; rows that agree in key, source and size are taken alike, so reruns agree.  Null texts and
     texts without a word have size 0 and take nothing; null sources are a source of their own, the
     last in order; a budget of 0 takes nothing; an empty table gives an empty result.
     """
@@ -135,11 +137,43 @@ def _cut_time(queued: DataFrame, targets: DataFrame, times: int, ranges: int) ->
         return -1.0
     if found is None:
         return float("inf")
-    within = W.orderBy("finish").rowsBetween(W.unboundedPreceding, 0)
+    within = W.orderBy("finish", "size").rowsBetween(W.unboundedPreceding, 0)
     last = entries.where(F.col("range") == found["range"]).withColumn("upto", F.sum("size").over(within) + (found["upto"] - found["words"]))
     last = last.where(F.col("upto") - F.col("size") / 2 <= budget).agg(F.max("finish")).first()[0]
     return found["range"] / ranges if last is None else last
 
 
+#: The same in SQL: one order for each source and one for all, without ranges.
+OP10_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5('10:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM documents
+), per AS (
+  SELECT *, ([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1])::DOUBLE AS weight, (2 * source_size)::DOUBLE AS most
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)
+), leveled AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(most) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM per WINDOW before AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), final AS (
+  SELECT *, min(CASE WHEN level * weight <= most THEN struct_pack(r := most / weight, l := level) END) OVER () AS f FROM leveled
+), targets AS (
+  SELECT source, source_size, CASE WHEN f IS NULL THEN most ELSE least(most, f.l * weight) END AS target FROM final
+), queued AS (
+  SELECT doc_id, size, source_size, target, source_size / target AS lap,
+    sum(size) OVER (PARTITION BY s.source ORDER BY h, doc_id NULLS FIRST, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / target AS finish
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+), entries AS (
+  SELECT finish + lap * e AS finish, size, sum(size) OVER (ORDER BY finish + lap * e, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM queued, (VALUES (0), (1)) v(e) WHERE size > 0
+), cut AS (
+  SELECT max(finish) AS cut FROM entries WHERE upto - size / 2 <= (SELECT sum(target) FROM targets)
+)
+SELECT doc_id, size, source_size, target,
+  (size * CASE WHEN size = 0 OR cut IS NULL THEN 0 ELSE (finish <= cut)::INT + (finish + lap <= cut)::INT END)::BIGINT AS taken
+FROM queued, cut
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents"))

@@ -376,5 +376,35 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     return out.select(F.col("key").alias(key), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"))
 
 
+#: The same in SQL, by all pairs of documents that share a shingle; doc_id is unique in the table.
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT doc_id, len(w) AS m, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w
+), windows AS (
+  SELECT doc_id, m, i, concat_ws(' ', x, lead(x) OVER d, lead(x, 2) OVER d, lead(x, 3) OVER d, lead(x, 4) OVER d) AS x
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)
+), distinct_windows AS (
+  SELECT DISTINCT doc_id, x FROM windows WHERE i <= greatest(1, m - 4)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM distinct_windows GROUP BY doc_id
+), shingles AS (
+  SELECT doc_id, n, x FROM distinct_windows JOIN sizes USING (doc_id)
+), shared AS (
+  SELECT s.* FROM shingles s JOIN (SELECT x FROM shingles GROUP BY x HAVING count(*) > 1) USING (x)
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shared a JOIN shared b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id <= coalesce(b, doc_id) AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN least ON a = doc_id
+"""
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))

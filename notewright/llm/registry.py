@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from notewright.llm.chat_format import OP1_SQL, op1_chat_format
-from notewright.llm.embedding_dedup import op3_embedding_dedup
+from notewright.llm.embedding_dedup import OP3_SQL, op3_embedding_dedup
 from notewright.llm.html_extraction import op6_html_extraction
 from notewright.llm.language_id import op4_language_id
-from notewright.llm.mixing import op10_mixing
-from notewright.llm.near_dedup import op9_near_dedup
+from notewright.llm.mixing import OP10_SQL, op10_mixing
+from notewright.llm.near_dedup import OP9_SQL, op9_near_dedup
 from notewright.llm.packing import op2_packing
 from notewright.llm.quality import op7_quality_rules
 from notewright.llm.token_counts import op5_token_counts
@@ -29,4 +29,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_chat_format": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op9_near_dedup": OP9_SQL, "op10_mixing": OP10_SQL}

@@ -14,7 +14,7 @@ WIDTH = 5
 #: ``MANTISSA`` bits after its first one.
 BUCKETS, MANTISSA, ZEROS_MOST = 256, 10, 62
 #: Words are cheap to hash, so few are remembered.
-REMEMBERED_CHARS = 4 << 20
+REMEMBERED_CHARS = 2 << 20
 U = np.uint64
 
 
