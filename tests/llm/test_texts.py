@@ -1,6 +1,7 @@
 """Language, quality, toxicity and HTML: exact parts by brute force, models by held-out rows."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -40,6 +41,44 @@ def test_language_models_are_distributions():
     assert (m.score(["abc"])[0, :2] < 0).all() and m.score(["abc"])[0, 0] > m.score(["abc"])[0, 1]
 
 
+def test_kneser_ney_against_a_slow_version():
+    texts = {"a": ["abc abd abc dab", "bca cab"], "b": ["xyz xyy yxa", "zzz"]}
+    m = language_id.train(texts)
+    d, order = language_id.DISCOUNT, language_id.ORDER
+
+    def slow(words):
+        counts = [None] * (order + 1)
+        counts[order] = {}
+        for w in words:
+            s = language_id.START * (order - 1) + w + language_id.END
+            for t in range(order - 1, len(s)):
+                g = s[t - order + 1 : t + 1]
+                counts[order][g] = counts[order].get(g, 0) + 1
+        for n in range(order - 1, 0, -1):
+            counts[n] = {}
+            for g in counts[n + 1]:
+                counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+        def p(g):
+            n = len(g)
+            if not n:
+                return 1 / language_id.ALPHABET
+            same = [c for x, c in counts[n].items() if x[:-1] == g[:-1]]
+            if not same:
+                return p(g[1:])
+            total = sum(same)
+            return max(counts[n].get(g, 0) - d, 0) / total + d * min(len(same), total / d) / total * p(g[1:])
+
+        return p
+
+    for i, lang in enumerate(m.languages):
+        p = slow(" ".join(texts[lang]).split())
+        for w in ("abc", "dab", "xyz", "zya", "q", "bcd"):
+            s = language_id.START * (order - 1) + w + language_id.END
+            want = sum(np.log(p(s[t - order + 1 : t + 1])) for t in range(order - 1, len(s)))
+            assert abs(m.score([w])[0, i] - want) < 1e-6
+
+
 def test_odd_texts_have_defined_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     models = language_id.fit(docs, sample=100)
@@ -127,10 +166,19 @@ def test_toxic_words_are_learned_and_tolerate_changes():
     clean = " ".join(word() for _ in range(60))
     got = scorer.score([clean, f"{clean} IDIOT, {clean}", f"{clean} i d i o t {clean}", f"{clean} id-iot {clean}", f"{clean} idixot moroon {clean}", "", clean])
     assert (got[1:5] >= 0.5).all() and (got[[0, 5, 6]] < 0.5).all() and ((got >= 0) & (got <= 1)).all()
+    long = [word() for _ in range(300)]
+    assert (scorer.score([" ".join([*long[:150], insult, *long[150:]]) for insult in ("idiot", "mo-ron", "you/loser")]) >= 0.5).all()
+
+
+def test_toxicity_of_held_out_rows(spark):
+    # A tenth of the toxic labels are on texts without an insult, which nothing can tell.
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out and toxic is not null").toPandas()
+    assert got[got.toxic == 1].predicted.mean() > 0.8 and got[got.toxic == 0].predicted.mean() < 0.01
 
 
 def test_toxicity_of_odd_rows(spark):
-    model = toxicity.Model(np.zeros(1 << toxicity.BITS), -1.0, np.array([1.0, 0.0, 0.0, -3.0]), [])
+    model = toxicity.Model(np.zeros(1 << toxicity.BITS), -1.0, np.array([1.0, 0.0, 0.0, 0.0, -3.0]))
     rows = toxicity.score(odd(spark), model).collect()
     assert len(rows) == 8 and all(r.predicted == 0 for r in rows)
     assert toxicity.clean(odd(spark), model).columns == odd(spark).columns and toxicity.clean(odd(spark), model).count() == 8
@@ -169,6 +217,24 @@ def test_pages_without_an_article_and_odd_pages(spark):
     assert html_extraction.extract(pages.limit(0)).count() == 0
 
 
+def test_wrappers_and_names_that_only_hold_a_mark():
+    article = lambda page: "|".join(t for k, t in html_extraction.blocks(page) if k == html_extraction.ARTICLE)
+    assert article('<div class="page with-sidebar"><article><p>hello') == "hello"
+    assert article('<div class="header-layout"><form id="f"><article>hi</article><input></form></div>') == "hi"
+    assert article('<article><div class="entry-header"><h1>Title</h1></div><section class="social-science">a</section></article>') == "Title|a"
+    assert article('<article><p>one <span class="share">two</span> <label>three</label></p></article>') == "one two three"
+    assert article('<article>x<div class="share-buttons">no</div><div id="comments"><article>no</article></div><ul class="adBox1"><li>no</ul><p class="related">no<p>y') == "x|y"
+    assert article('<aside><article>no</article></aside><section class="comment-list"><article>no</article></section><main>m</main>') == "m"
+    assert article('<article><p title="a>b">q</p> 1 < 2 <!-- no --><select><option>no</select>&amp;<script>"</p>"</script></article>') == "q|1 < 2|&"
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "</b>" * 200_000, "<a x='" * 100_001, "<a x='>" * 100_001, "<p><table>" + "<b>" * 50_000 + "<div></div>" * 50_000, "<div>" * 100_000, "<!--" * 100_000, "<title>" * 100_000, "<a = " + '"' * 300_001])
+def test_hostile_markup_takes_linear_time(page):
+    began = time.time()
+    html_extraction.blocks(page)
+    assert time.time() - began < 8
+
+
 def test_copies_and_shared_passages_keep_their_text(spark):
     menu = "<div>home news about contact imprint terms of use here</div>"
     own = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
