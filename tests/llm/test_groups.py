@@ -9,6 +9,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,7 +300,7 @@ def test_odd_calls_have_defined_results(spark):
 def test_levels_of_long_chains_knots_and_cycles(spark, gathered):
     rng = random.Random(11)
     needs = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(150)}
-    for i in range(60):
+    for i in range(12):
         needs[f"k{i}"] = rng.sample([f"c{rng.randrange(150)}", f"k{max(0, i - 1)}", f"k{max(0, i - 2)}", "nowhere"], 3) if i else ["c149", "c3"]
         needs[f"t{i}"] = [f"k{i}"]
     needs |= {"x": ["z"], "y": ["x"], "z": ["y"], "w": ["x", "c1"], "v": ["w"], "u": ["v", "k3", "c9"]}
@@ -330,7 +331,7 @@ def test_call_query_is_the_same_in_sql(spark, sf_dir):
     for name, sql in registry.ORACLES.items():
         mine = registry.QUERIES[name](spark, sf_dir).toPandas()
         theirs = con.execute(sql).df()[list(mine.columns)]
-        plain = lambda f: sorted(repr([None if x is None or x != x else str(x).removesuffix(".0") for x in r]) for r in f.astype(object).values.tolist())
+        plain = lambda f: sorted(repr([None if pd.isna(x) else str(x).removesuffix(".0") for x in r]) for r in f.astype(object).values.tolist())
         assert plain(mine) == plain(theirs)
 
 
