@@ -4,13 +4,13 @@
    HyperMinHash registers (leading zeros and mantissa by bucket).  Equal sets are one *class* from
    here on, so exact copies cost one row; classes are numbered.
 2. Bands of registers put classes into buckets: one exchange of two numbers a band, after which
-   buckets of one class are gone.  A bucket that is frequent within a batch is dealt over many
-   tasks.  Buckets with the same members are kept once.
-3. In every bucket each class is paired with the least one only (a star, not all pairs).  The
+   buckets of one class are gone.
+3. In every bucket each class is paired with the least one only (a star, not all pairs); in a bucket
+   that is frequent within a batch, with the batch's least one, and these with the least of all.  The
    collision-corrected estimate drops pairs that are far from the threshold; the rest is verified on
    full sets.  Components of the verified links are found.
 4. What the stars may have missed lies in buckets of three classes or more that still hold several
-   components.  Such a bucket is searched for further links between its components, in blocks: first
+   components; those with the same members are kept once.  Such a bucket is searched for further links between its components, in blocks: first
    on registers, which leaves the classes with a likely partner, and these on full sets, until no two
    of the bucket's components are linked; a block emits at most one link for each of its classes.  So
    no candidate pair is lost and nothing quadratic is written.
@@ -36,8 +36,8 @@ PERCENT = 75
 BAND = 5
 #: Classes of a block of step 4, and partners of a star's centre that one task's portion holds.
 BLOCK, PORTION = 512, 256
-#: A bucket with so many classes of one batch is dealt over so many tasks.
-FREQUENT, SPREAD = 16, 1024
+#: A bucket with so many classes of one batch is a star there, before anything is moved.
+FREQUENT = 16
 #: Ids that are broadcast to fetch rows; beyond, tables are joined by a shuffle.
 BROADCAST_IDS = 250_000
 
@@ -69,12 +69,13 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """``bucket, spread, id``: one row for each class and band.
+    """``bucket, star, id``: one row for each class and band.
 
-    Classes of a bucket that is frequent in a batch are dealt over ``SPREAD`` numbers; the other
-    batches learn that the bucket has members from one row with the negative id ``-1 - id``.
+    Classes of a bucket that is frequent in a batch are a star at once, around the batch's least
+    class: ``star`` is one more than that, and 0 elsewhere.  For the bucket's other batches the least
+    class stands for all of them, in one row with the negative id ``-1 - id``.
     """
-    schema = pa.schema([("bucket", pa.int64()), ("spread", pa.int32()), ("id", pa.int64())])
+    schema = pa.schema([("bucket", pa.int64()), ("star", pa.int64()), ("id", pa.int64())])
 
     def banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,20 +88,41 @@ def band_rows(classes: DataFrame) -> DataFrame:
             ids, keys = ids[order], keys[order]
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             many = np.diff(np.r_[starts, len(keys)])
-            often = np.repeat(many >= FREQUENT, many)
-            spread = np.where(often, 1 + (ids.view(np.uint64) * shingles.STEP >> np.uint64(40)).astype(np.int64) % SPREAD, 0)
+            star = np.repeat(np.where(many >= FREQUENT, 1 + ids[starts], 0), many)
             told = starts[many >= FREQUENT]
-            columns = [np.r_[keys, keys[told]], np.r_[spread, np.zeros(len(told), np.int64)], np.r_[ids, -1 - ids[told]]]
+            columns = [np.r_[keys, keys[told]], np.r_[star, np.zeros(len(told), np.int64)], np.r_[ids, -1 - ids[told]]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return classes.select("id", "registers").mapInArrow(banded, "bucket long, spread int, id long")
+    return classes.select("id", "registers").mapInArrow(common.lean(banded), "bucket long, star long, id long")
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
-    """``bucket, id`` of the buckets with several classes."""
-    dealt = band_rows(classes).repartition("bucket", "spread")
-    counted = dealt.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("bucket", "spread")))
-    return counted.where("id >= 0 and (n > 1 or spread > 0)").select("bucket", "id")
+    """``bucket, id, a, wide``: the classes of the buckets with several ones, the centre of each one's
+    star, and whether there are more than two."""
+    dealt = band_rows(classes).repartition("bucket", "star")
+    own = W.partitionBy("bucket", "star")
+    real = F.when(F.col("id") < 0, -1 - F.col("id")).otherwise(F.col("id"))
+    met = dealt.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("told", F.min("id").over(own) < 0).withColumn("least", F.min(real).over(own))
+    centre = F.when(F.col("star") > 0, F.col("star") - 1).otherwise(F.col("least"))
+    return met.where("n > 1 or star > 0").select("bucket", real.alias("id"), centre.alias("a"), ((F.col("n") > 2) | F.col("told") | (F.col("star") > 0)).alias("wide"))
+
+
+def mixed_buckets(shared: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``bucket, members, id, root`` of the buckets that hold several components, buckets with the same
+    members once.
+
+    A class that is linked with its star's centre is in the centre's component, so only the others
+    are looked at to tell which buckets these are.
+    """
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    loose = shared.where("wide and id <> a").join(links.select("a", F.col("b").alias("id")), ["a", "id"], "left_anti")
+    loose = loose.join(root("id"), "id", "left").join(root("a"), "a", "left")
+    mixed = loose.where(F.coalesce("root_id", "id") != F.coalesce("root_a", "a")).select("bucket").distinct()
+    held = shared.join(mixed, "bucket", "left_semi").select("bucket", "id").distinct()
+    sums = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("id")).alias("sign"), F.min("id").alias("least"))
+    once = sums.groupBy("members", "sign", "least").agg(F.min("bucket").alias("bucket")).select("bucket", "members")
+    held = held.join(once, "bucket").join(root("id"), "id", "left")
+    return held.select("bucket", "members", "id", F.coalesce("root_id", "id").alias("root"))
 
 
 def jaccard_links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -341,26 +363,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     classes = tables.put("classes", classes)
 
     shared = tables.put("shared", shared_buckets(classes))
-    # Members of a bucket in number, their hashes together, and the least: aggregated before the shuffle.
-    sums = shared.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("id")).alias("sign"), F.min("id").alias("a"))
-    buckets = sums.groupBy("members", "sign", "a").agg(F.min("bucket").alias("bucket")).drop("sign")
-    held = tables.put("held", shared.join(buckets, "bucket").select("bucket", "members", "a", "id"))
-    tables.drop("shared")
-
-    stars = tables.put("stars", held.where("id <> a").select("a", F.col("id").alias("b")).distinct())
+    stars = tables.put("stars", shared.where("id <> a").select("a", F.col("id").alias("b")).distinct())
     likely_pairs = tables.put("likely", estimated(stars, classes))
     links = tables.put("links", verified(likely_pairs, classes, docs, text, key, width))
     tables.drop("stars", "likely")
     found = components(links, tables, "first")
 
-    wide = held.where("members > 2").join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    wide = tables.put("wide", wide.select("bucket", "members", "id", "root"))
-    tables.drop("held")
-    mixed = wide.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    rest = tables.put("rest", blocked(wide.join(mixed, "bucket")))
+    rest = tables.put("rest", blocked(tables.put("mixed", mixed_buckets(shared, links, found))))
+    tables.drop("shared")
     sifted = doubtful(rest, classes).join(rest.select("bucket", "x", "y", "id", "root"), ["bucket", "x", "y", "id"])
     sifted = tables.put("sifted", sifted.join(classes.select("id", "rep", "digest"), "id"))
-    tables.drop("wide", "rest")
+    tables.drop("mixed", "rest")
     more = tables.put("more", residual_links(sifted, docs, text, key, width))
     if more.limit(1).count():
         found = components(links.unionByName(more), tables, "second")

@@ -64,9 +64,10 @@ def near_texts():
     return texts
 
 
-@pytest.mark.parametrize("block", [near_dedup.BLOCK, 5])
-def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "frequent"), [(near_dedup.BLOCK, near_dedup.FREQUENT), (5, 2)])
+def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, block, frequent):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "FREQUENT", frequent)
     texts = near_texts()
     rows = [(i * 3 + 1, t, "x", 1) for i, t in enumerate(texts)] + [(1 + 3 * 20, texts[20], "x", 1)]
     table = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
