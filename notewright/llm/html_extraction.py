@@ -21,7 +21,6 @@ import functools
 import html
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -49,6 +48,7 @@ BREAKS = frozenset(["br", "hr"])
 CLOSES_P = BLOCKS - {"option", "legend", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 DROPPED = frozenset("nav header footer aside button menu dialog head select object svg noscript template".split())
 MAIN = frozenset(["article", "main"])
+SPECIAL = DROPPED | MAIN | {"form"}
 #: Words of class, id and role names that mark what is not the article.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising advertorial sponsor sponsors sponsored promo promos promotion promoted banner banners menu menus nav navbar navigation"
@@ -64,7 +64,8 @@ BESIDE = frozenset(
 PARTS = re.compile(r"[A-Za-z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|$|=)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(>?)")
+RAW_ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 ENDS = re.compile(r"""=\s*(["'])|>""")
 #: Kinds of blocks; an article within a FORM is one, within what is MARKED it is none.
 ARTICLE, MARKED, OPEN, FORM = 0, 1, 2, 3
@@ -82,7 +83,7 @@ class Tokens:
     """The tags and texts of a page in order, each place looked at a bounded number of times."""
 
     def __init__(self, page: str):
-        self.page, self.quotes, self.lower = page, True, None
+        self.page, self.quotes = page, True
 
     def tag_end(self, at: int) -> int:
         """Where the tag that starts at ``at`` ends, -1 if it does not; values in quotes may hold ``>``."""
@@ -122,35 +123,31 @@ class Tokens:
                     yield "", False, page[text:start]
                 at = text = end
                 continue
-            end = self.tag_end(m.end())
+            slash, name, whole = m.groups()
+            end = m.end() if whole else self.tag_end(m.end())
             if end < 0:
                 break  # no tag ends any more: the rest is text
             if text < start:
                 yield "", False, page[text:start]
-            name, closing = m[1].lower(), page[start + 1] == "/"
-            yield name, closing, page[m.end() : end - 1]
+            name, closing = name.lower(), slash == "/"
+            yield name, closing, "" if whole else page[m.end() : end - 1]
             at = text = end
             if name in RAW and not closing:
-                if self.lower is None:
-                    # Lower case of A-Z alone keeps all places.
-                    self.lower = page.translate(LOWER)
-                at = text = self.lower.find(f"</{name}", end)
-                if at < 0:
+                close = RAW_ENDS[name].search(page, end)
+                if close is None:
                     return
+                at = text = close.start()
         if text < n:
             yield "", False, page[text:]
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def blocks(page: str) -> list[tuple[int, str]]:
     """The blocks of a page in order: (kind, text), the text unescaped, its white space single."""
     out: list[tuple[int, str]] = []
     parts: list[str] = []
     stack: list[tuple[str, int]] = [("", OPEN)]
     tall: list[int] = [0]  # places of block elements in the stack
-    opened: Counter[str] = Counter()
+    opened: dict[str, int] = {}
 
     def close_block() -> None:
         if parts:
@@ -160,11 +157,10 @@ def blocks(page: str) -> list[tuple[int, str]]:
             parts.clear()
 
     def cut(i: int) -> None:
-        if any(k != stack[-1][1] for k in (stack[i][1], stack[i - 1][1])):
+        if not stack[-1][1] == stack[i][1] == stack[i - 1][1]:
             close_block()
-        for name, _ in stack[i:]:
-            opened[name] -= 1
-        del stack[i:]
+        while len(stack) > i:
+            opened[stack.pop()[0]] -= 1
         while tall[-1] >= i:
             tall.pop()
 
@@ -176,7 +172,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if block or tag in DROPPED or tag in BREAKS:
             close_block()
         if closing:
-            if opened[tag]:
+            if opened.get(tag):
                 i = len(stack) - 1
                 while stack[i][0] != tag:
                     i -= 1
@@ -187,7 +183,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if tag in CLOSES_P and stack[tall[-1]][0] == "p":
             cut(tall[-1])
         kind = stack[-1][1]
-        if kind != MARKED:
+        if kind != MARKED and (rest or tag in SPECIAL):
             if tag in DROPPED and not (tag == "header" and kind == ARTICLE):
                 kind = MARKED
             elif rest and HIDDEN.search(rest) and tag not in ("html", "body"):
@@ -202,7 +198,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if kind != stack[-1][1]:
             close_block()
         stack.append((tag, kind))
-        opened[tag] += 1
+        opened[tag] = opened.get(tag, 0) + 1
         if block:
             tall.append(len(stack) - 1)
     close_block()
