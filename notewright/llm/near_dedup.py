@@ -242,9 +242,11 @@ def blocked(rows: DataFrame) -> DataFrame:
     """
     small = rows.where(F.col("members") <= BLOCK).select("*", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"))
     large = rows.where(F.col("members") > BLOCK)
-    sizes = large.groupBy("bucket", "members", "root").agg(F.count(F.lit(1)).alias("n"))
-    shared = F.ceil(F.col("members") / BLOCK)
+    sizes = large.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     own = F.col("n") > BLOCK
+    # As many shared blocks as the classes of the components without own ones ask for.
+    few = sizes.groupBy("bucket").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.when(own, 0).otherwise(F.col("n"))) / BLOCK)).alias("few"))
+    sizes, shared = sizes.join(few, "bucket"), F.col("few")
     # Numbers of shared blocks are not negative; blocks of one component are negative numbers of it.
     sizes = sizes.select("bucket", "root", own.alias("own"), F.when(own, F.ceil(F.col("n") / BLOCK)).otherwise(1).alias("cuts"), F.pmod(F.xxhash64("root"), shared).alias("shared"))
     number = lambda cut: F.when(F.col("own"), -1 - F.abs(F.xxhash64("root", cut) % (1 << 62))).otherwise(F.col("shared"))
