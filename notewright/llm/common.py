@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
 from collections.abc import Callable, Iterable, Iterator
 
@@ -65,6 +66,18 @@ def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return ran
 
 
+def frugal(fit: Callable) -> Callable:
+    """``fit``, after which the driver keeps no memory but the model: the texts learned from are gone."""
+
+    @functools.wraps(fit)
+    def ran(*args, **named):
+        model = fit(*args, **named)
+        _give_back()
+        return model
+
+    return ran
+
+
 def crc_of(col: Column) -> Column:
     """CRC-32 of an id's decimal text, as the folds of the contracts use it."""
     return F.crc32(col.cast("string"))

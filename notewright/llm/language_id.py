@@ -209,6 +209,7 @@ def calibrate(models: Models, texts: dict[str, list[str]], accept: float = 0.999
     return models
 
 
+@common.frugal
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, longest: int = LONGEST) -> Models:
     """Learns the languages of ``lang`` from at most about ``sample`` texts of each, of at most
     ``longest`` bytes; three quarters are counted, the rest calibrates."""

@@ -201,6 +201,7 @@ def train(texts: list[str], good: np.ndarray, weight: np.ndarray | None = None,
     return model
 
 
+@common.frugal
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
     """Learns from about ``sample`` labelled texts of each label at most, each of at most ``longest``
     bytes.  The bounded list of their ids is broadcast, so the documents are not shuffled."""
