@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,31 +17,57 @@ from notewright.operators import dedup as D
 from notewright.storage import Tables
 
 SCHEMA_VERSION = 1
+#: Bytes of a body that are read at once.
+PIECE = 1 << 20
 
 
 def dedup_and_cluster(embedded: DataFrame, config: EngineConfig, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """All rows with their masters and clusters, and the masters with bodies."""
-    rows = tables.put("candidates", D.exact_masters(D.candidates(embedded), tables))
+    """All rows with their masters and clusters, without texts, and the masters with bodies."""
+    texts = tables.put("texts", D.candidates(embedded).drop("text"))
+    rows = tables.put("candidates", D.exact_masters(texts.drop("normalized"), tables))
     rows = tables.put("semantic", D.semantic_masters(rows, config.dedup_threshold, tables, config.search))
-    masters = D.with_bodies(rows)
-    assigned = C.assign(masters.select("note_id", "source_chat", "source_msg_id", "embedding"), config.cluster_threshold, config.search)
+    firsts = rows.where("note_id = semantic_master").select("note_id", "source_chat", "source_msg_id", "embedding")
+    assigned = tables.put("assigned", C.assign(firsts, config.cluster_threshold, config.search))
+    masters = D.with_bodies(rows, texts).drop("normalized", "additions").withColumn("body_hash", F.sha2("body", 256))
     masters = tables.put("masters", masters.join(assigned, "note_id"))
-    placed = masters.select(F.col("note_id").alias("semantic_master"), "cluster_id")
+    placed = assigned.select(F.col("note_id").alias("semantic_master"), "cluster_id")
     return tables.put("placed", rows.join(placed, "semantic_master")), masters
 
 
-def notes(rows: DataFrame, masters: DataFrame, model: ModelInfo) -> DataFrame:
-    """Note records; a duplicate has its master's body."""
-    bodies = masters.select(F.col("note_id").alias("semantic_master"), "body")
-    out = rows.join(bodies, "semantic_master")
+def heads(rows: DataFrame, masters: DataFrame, model: ModelInfo) -> DataFrame:
+    """Note records without their bodies.
+
+    A duplicate has its master's body, which holds the texts of all duplicates: written out for each
+    note, bodies would grow with the square of a group.  ``body_of`` names the note whose body it is.
+    """
+    hashes = masters.select(F.col("note_id").alias("semantic_master"), "body_hash")
+    out = rows.join(hashes, "semantic_master")
     return out.select(
-        F.col("note_id").alias("id"), "source_chat", "source_msg_id", "title", "body", F.sha2("body", 256).alias("hash"),
+        F.col("note_id").alias("id"), "source_chat", "source_msg_id", "title", F.col("body_hash").alias("hash"),
         F.lit(model.model_id).alias("embedding_id"), "embedding", "cluster_id", F.array().cast("array<string>").alias("tags"),
         F.col("date_utc").alias("created_at"), F.greatest("date_utc", F.coalesce("edited_at_utc", "date_utc")).alias("updated_at"),
         F.when(F.col("note_id") == F.col("semantic_master"), "").otherwise(F.col("semantic_master")).alias("duplicate_of"),
+        F.col("semantic_master").alias("body_of"),
     )
 
 
+def bodies(masters: DataFrame) -> DataFrame:
+    """``body_of, body``: each body once."""
+    return masters.select(F.col("note_id").alias("body_of"), "body")
+
+
+def filled(head_rows: DataFrame, body_rows: DataFrame) -> DataFrame:
+    """Whole note records, for what keeps or shows each note with its body."""
+    names = [c for c in head_rows.columns if c != "body_of"]
+    names.insert(names.index("title") + 1, "body")
+    return head_rows.join(body_rows, "body_of").select(*names)
+
+
+def notes(rows: DataFrame, masters: DataFrame, model: ModelInfo) -> DataFrame:
+    """Note records; a duplicate has its master's body."""
+    return filled(heads(rows, masters, model), bodies(masters))
+
+
 def members(note_rows: DataFrame) -> DataFrame:
     """``cluster_id, note_ids``: all notes, by the number in their id, then by id."""
     order = F.struct(F.coalesce(T.numeric_suffix(F.col("id")), F.lit((1 << 63) - 1)).alias("n"), "id")
@@ -77,21 +105,43 @@ def _digest(parts) -> str:
     return h.hexdigest()
 
 
-def fingerprint(note_rows: DataFrame, cluster_rows: DataFrame, model: ModelInfo) -> str:
+def fingerprint(note_rows: DataFrame, cluster_rows: DataFrame, model: ModelInfo, body_rows: DataFrame | None = None) -> str:
     """A digest of what readers see: header, notes by id, clusters by id, each field ended by NUL.
 
-    Rows come to the driver one at a time, in order; only the running digest is kept.
+    Rows come to the driver one at a time, in order; only the running digest is kept.  With
+    ``body_rows`` notes come without bodies: each body comes once, to a temporary file of the driver,
+    and is read from there for every note that has it.
     """
 
+    def fields(*names: str) -> Column:
+        # concat_ws leaves null fields out, which would move the others.
+        return F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in names], F.lit(""))
+
     def parts():
         for x in (SCHEMA_VERSION, model.model_id, model.model_hash, model.profile, model.vector_dimension):
             yield f"{x}\0".encode()
-        # concat_ws leaves null fields out, which would move the others.
-        fields = F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in ("id", "hash", "cluster_id", "title", "body", "duplicate_of")], F.lit(""))
-        for r in note_rows.orderBy("id").select(fields.alias("t")).toLocalIterator():
-            yield r.t.encode()
-        fields = F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in ("id", "slug", "name")], F.col("note_ids"), F.lit(""))
-        for r in cluster_rows.orderBy("id").select(fields.alias("t")).toLocalIterator():
+        before, after = fields("id", "hash", "cluster_id", "title"), fields("duplicate_of")
+        if body_rows is None:
+            for r in note_rows.orderBy("id").select(F.concat(before, fields("body"), after).alias("t")).toLocalIterator():
+                yield r.t.encode()
+        else:
+            with tempfile.TemporaryFile() as file:
+                at: dict[str, tuple[int, int]] = {}
+                for r in body_rows.select("body_of", "body").toLocalIterator():
+                    data = (r.body or "").encode()
+                    at[r.body_of] = file.tell(), len(data)
+                    file.write(data)
+                file.flush()
+                for r in note_rows.orderBy("id").select(before.alias("before"), "body_of", after.alias("after")).toLocalIterator():
+                    yield r.before.encode()
+                    start, size = at[r.body_of]
+                    # A call may give less than it is asked for.
+                    while size:
+                        data = os.pread(file.fileno(), min(size, PIECE), start)
+                        yield data
+                        start, size = start + len(data), size - len(data)
+                    yield b"\0" + r.after.encode()
+        for r in cluster_rows.orderBy("id").select(F.concat_ws("\0", *[F.coalesce(c, F.lit("")) for c in ("id", "slug", "name")], F.col("note_ids"), F.lit("")).alias("t")).toLocalIterator():
             yield r.t.encode()
 
     return _digest(parts())

@@ -65,18 +65,19 @@ class Engine:
         embedded = incremental.merged(before[1], fetched, self.encode, self.config.rebuild_text) if incremental_run else self.encode(fetched)
         embedded = work.put("embedded", embedded)
         rows, masters = manifest.dedup_and_cluster(embedded, self.config, work)
-        notes = work.put("notes", manifest.notes(rows, masters, self.model))
-        clusters = work.put("clusters", manifest.cluster_records(masters, notes))
-        broken = manifest.integrity(notes, clusters, self.model).limit(5).collect()
+        heads, bodies = work.put("notes", manifest.heads(rows, masters, self.model)), manifest.bodies(masters)
+        clusters = work.put("clusters", manifest.cluster_records(masters, heads))
+        broken = manifest.integrity(manifest.filled(heads, bodies), clusters, self.model).limit(5).collect()
         if broken:
             raise ValueError(f"the snapshot is not sound: {broken}")
-        mark = manifest.fingerprint(notes, clusters, self.model)
-        counts = manifest.counts(notes).first().asDict()
+        mark = manifest.fingerprint(heads, clusters, self.model, bodies)
+        counts = manifest.counts(heads).first().asDict()
         if before and before[0]["fingerprint"] == mark and not (Path(self.root) / vault.DIRTY).exists():
             return Outcome(False, None, mark, counts)
         vault.write_atomic(str(Path(self.root) / vault.DIRTY), "dirty\n")
         run_id = manifest.run_id(chat, embedded, self.model, self.config)
         place = f"{self.tables}/{run_id}"
+        notes = manifest.filled(heads, bodies)
         snapshot.save_tables(notes, clusters, place)
         model = {"model_id": self.model.model_id, "model_hash": self.model.model_hash, "model_profile": self.model.model_profile, "vector_dimension": self.model.vector_dimension}
         vault.write_atomic(str(self.header), json.dumps({"schema_version": manifest.SCHEMA_VERSION, "model": model, "fingerprint": mark, "counts": counts, "run_id": run_id, "tables": place}, indent=2) + "\n")

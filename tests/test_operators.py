@@ -69,6 +69,29 @@ def test_integrity_finds_what_is_broken(spark):
     }
 
 
+@pytest.fixture
+def group(spark):
+    """A master with 60 near copies: rows, notes without bodies, clusters, bodies, whole notes."""
+    v = np.array([[1.0, i / 1000] for i in range(61)])
+    rows = [(i + 1, "c", f"text {i} " + "word " * 40, [float(x) for x in r / np.linalg.norm(r)]) for i, r in enumerate(v)]
+    frame = spark.createDataFrame(rows, "source_msg_id long, source_chat string, text string, embedding array<float>").select("*", F.timestamp_seconds("source_msg_id").alias("date_utc"), F.lit(None).cast("timestamp").alias("edited_at_utc"))
+    work = Tables(spark, "t")
+    placed, masters = manifest.dedup_and_cluster(frame, EngineConfig(), work)
+    heads = work.put("notes", manifest.heads(placed, masters, ModelInfo("m", "h", "", 2)))
+    whole = work.put("whole", manifest.notes(placed, masters, ModelInfo("m", "h", "", 2)))
+    return placed, heads, work.put("clusters", manifest.cluster_records(masters, heads)), manifest.bodies(masters), whole
+
+
+def test_fingerprint_takes_each_body_once(group, monkeypatch):
+    _, heads, found, body_rows, whole = group
+    model = ModelInfo("m", "h", "", 2)
+    assert body_rows.count() == 1 and heads.where("duplicate_of <> ''").count() == 60 and "body" not in heads.columns
+    assert len(body_rows.first().body) > 61 * 200
+    monkeypatch.setattr(manifest, "PIECE", 1000)
+    assert manifest.fingerprint(heads, found, model, body_rows) == manifest.fingerprint(whole, found, model)
+    assert manifest.fingerprint(heads, found, model, body_rows.withColumn("body", F.concat("body", F.lit("x")))) != manifest.fingerprint(whole, found, model)
+
+
 def test_validation_stops_a_run(spark):
     bad = spark.createDataFrame([(" ", 1, "x")], "source_chat string, source_msg_id long, text string").select(
         "*", F.timestamp_seconds(F.lit(9)).alias("date_utc"), F.lit(None).cast("timestamp").alias("edited_at_utc"), F.lit(None).cast("long").alias("reply_to_source_msg_id")
