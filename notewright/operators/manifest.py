@@ -163,34 +163,52 @@ def _bad(rows: DataFrame, rule: str, key: Column) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"))
 
 
-def integrity(note_rows: DataFrame, cluster_rows: DataFrame, model: ModelInfo) -> DataFrame:
+def _broken(rows: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """The rules that single rows break, in one pass."""
+    found = F.array_compact(F.array(*[F.when(broken, rule) for rule, broken in rules.items()]))
+    return rows.select(F.explode(found).alias("rule"), F.col(key).cast("string").alias("key"))
+
+
+def integrity(note_rows: DataFrame, cluster_rows: DataFrame, model: ModelInfo, body_rows: DataFrame | None = None) -> DataFrame:
     """``rule, key`` of everything that a snapshot must not hold; empty for a sound one.
 
     Anti-joins and aggregates only; membership is compared as exploded pairs, not list by list.
+    ``body_rows`` are the bodies of notes that come without: each is checked once, and what was found
+    is joined to the notes that have it.
     """
     n, c = note_rows, cluster_rows
     pairs = c.select(F.col("id").alias("cluster_id"), F.explode("note_ids").alias("note_id"))
     held = n.select("cluster_id", F.col("id").alias("note_id"))
     canonical = n.where("duplicate_of = ''").select(F.col("id").alias("duplicate_of"), F.col("cluster_id").alias("master_cluster"))
-    copies = n.where("duplicate_of <> ''").join(canonical, "duplicate_of", "left")
+    copies = n.where("duplicate_of <> ''").select("id", "cluster_id", "duplicate_of").join(canonical, "duplicate_of", "left")
     blank = lambda x: T.trim_spaces(F.col(x)) == ""
+    of_body = [
+        blank("body").alias("body_blank"), (F.col("body").contains("\r") | F.col("body").endswith("\n")).alias("body_rough"), F.sha2("body", 256).alias("body_hash"),
+    ]
+    checked = n.select("*", *of_body) if body_rows is None else n.join(body_rows.select("body_of", *of_body), "body_of", "left")
     found = [
         _bad(D.duplicate_keys(n, "id"), "note id repeats", F.col("id")),
         _bad(D.duplicate_keys(c, "id"), "cluster id repeats", F.col("id")),
         _bad(D.duplicate_keys(c, "slug"), "cluster slug repeats", F.col("slug")),
         _bad(D.duplicate_keys(pairs, "cluster_id", "note_id"), "cluster lists a note twice", F.col("note_id")),
-        _bad(n.where(F.col("id") != F.concat_ws(":", "source_chat", F.col("source_msg_id").cast("string"))), "note id is not chat:id", F.col("id")),
-        _bad(n.where(blank("title") | blank("body") | blank("embedding_id") | blank("cluster_id")), "note has a blank field", F.col("id")),
-        _bad(n.where(F.col("body").contains("\r") | F.col("body").endswith("\n")), "note body is not normalized", F.col("id")),
-        _bad(n.where("updated_at < created_at"), "note updated before created", F.col("id")),
-        _bad(n.where(F.sha2("body", 256) != F.col("hash")), "note hash differs from body", F.col("id")),
-        _bad(n.where(F.size("embedding") != model.vector_dimension), "note vector has a wrong dimension", F.col("id")),
-        _bad(c.where(F.size("centroid") != model.vector_dimension), "centroid has a wrong dimension", F.col("id")),
-        _bad(c.where(blank("name") | (F.col("slug") == "") | F.col("slug").rlike(r"[/\\]") | (F.size("note_ids") == 0)), "cluster has a bad field", F.col("id")),
+        _broken(checked, "id", {
+            "note id is not chat:id": F.col("id") != F.concat_ws(":", "source_chat", F.col("source_msg_id").cast("string")),
+            "note has a blank field": blank("title") | F.col("body_blank") | blank("embedding_id") | blank("cluster_id"),
+            "note body is not normalized": F.col("body_rough"),
+            "note updated before created": F.col("updated_at") < F.col("created_at"),
+            "note hash differs from body": F.col("body_hash") != F.col("hash"),
+            "note vector has a wrong dimension": F.size("embedding") != model.vector_dimension,
+            "duplicate of itself": F.col("duplicate_of") == F.col("id"),
+        }),
+        _broken(c, "id", {
+            "centroid has a wrong dimension": F.size("centroid") != model.vector_dimension,
+            "cluster has a bad field": blank("name") | (F.col("slug") == "") | F.col("slug").rlike(r"[/\\]") | (F.size("note_ids") == 0),
+        }),
         _bad(n.join(c.select(F.col("id").alias("cluster_id")), "cluster_id", "left_anti"), "note's cluster is missing", F.col("id")),
-        _bad(copies.where("master_cluster is null"), "duplicate of no canonical note", F.col("id")),
-        _bad(copies.where("master_cluster <> cluster_id"), "duplicate in another cluster", F.col("id")),
-        _bad(n.where("duplicate_of = id"), "duplicate of itself", F.col("id")),
+        _broken(copies, "id", {
+            "duplicate of no canonical note": F.col("master_cluster").isNull(),
+            "duplicate in another cluster": F.col("master_cluster") != F.col("cluster_id"),
+        }),
         _bad(pairs.join(held, ["cluster_id", "note_id"], "left_anti"), "cluster lists a foreign note", F.col("note_id")),
         _bad(held.join(pairs, ["cluster_id", "note_id"], "left_anti"), "cluster misses a note", F.col("note_id")),
     ]

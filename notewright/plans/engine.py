@@ -67,7 +67,7 @@ class Engine:
         rows, masters = manifest.dedup_and_cluster(embedded, self.config, work)
         heads, bodies = work.put("notes", manifest.heads(rows, masters, self.model)), manifest.bodies(masters)
         clusters = work.put("clusters", manifest.cluster_records(masters, heads))
-        broken = manifest.integrity(manifest.filled(heads, bodies), clusters, self.model).limit(5).collect()
+        broken = manifest.integrity(heads, clusters, self.model, bodies).limit(5).collect()
         if broken:
             raise ValueError(f"the snapshot is not sound: {broken}")
         mark = manifest.fingerprint(heads, clusters, self.model, bodies)

@@ -92,6 +92,16 @@ def test_fingerprint_takes_each_body_once(group, monkeypatch):
     assert manifest.fingerprint(heads, found, model, body_rows.withColumn("body", F.concat("body", F.lit("x")))) != manifest.fingerprint(whole, found, model)
 
 
+def test_integrity_checks_each_body_once(group):
+    _, heads, found, body_rows, whole = group
+    model = ModelInfo("m", "h", "", 2)
+    rules = lambda n, b: {(r.rule, r.key) for r in manifest.integrity(n, found, model, b).collect()}
+    assert rules(heads, body_rows) == rules(whole, None) == set()
+    for bad, said in (("\n", {"note body is not normalized", "note hash differs from body"}), ("", {"note has a blank field", "note hash differs from body"})):
+        broken = body_rows.withColumn("body", F.concat("body", F.lit(bad)) if bad else F.lit(" "))
+        assert rules(heads, broken) == rules(whole.withColumn("body", F.concat("body", F.lit(bad)) if bad else F.lit(" ")), None) == {(r, f"c:{i + 1}") for r in said for i in range(61)}
+
+
 def test_validation_stops_a_run(spark):
     bad = spark.createDataFrame([(" ", 1, "x")], "source_chat string, source_msg_id long, text string").select(
         "*", F.timestamp_seconds(F.lit(9)).alias("date_utc"), F.lit(None).cast("timestamp").alias("edited_at_utc"), F.lit(None).cast("long").alias("reply_to_source_msg_id")
