@@ -117,6 +117,13 @@ def test_integrity_checks_each_body_once(group):
         assert rules(heads, broken) == rules(whole.withColumn("body", F.concat("body", F.lit(bad)) if bad else F.lit(" ")), None) == {(r, f"c:{i + 1}") for r in said for i in range(61)}
 
 
+def test_snapshot_tables_hold_no_text_of_duplicates(group):
+    # Groups of d rows would cost d * d texts; what is shuffled and kept for centroids, members, counts, vectors and notes is narrow.
+    placed, heads, found, _, _ = group
+    for table in (placed, heads, found):
+        assert not {"text", "normalized", "body", "additions"} & set(table.columns)
+
+
 def test_validation_stops_a_run(spark):
     bad = spark.createDataFrame([(" ", 1, "x")], "source_chat string, source_msg_id long, text string").select(
         "*", F.timestamp_seconds(F.lit(9)).alias("date_utc"), F.lit(None).cast("timestamp").alias("edited_at_utc"), F.lit(None).cast("long").alias("reply_to_source_msg_id")
