@@ -20,9 +20,11 @@ from notewright.functions.render import note_markdown
 DIRTY = "_meta/projection.dirty"
 
 
-def note_files(notes: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``path, content`` of canonical notes."""
+def note_files(notes: DataFrame, clusters: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """``path, content`` of canonical notes; ``bodies`` (body_of, body) of notes that come without."""
     slugs = clusters.select(F.col("id").alias("cluster_id"), "slug")
+    if bodies is not None:
+        notes = notes.where("duplicate_of = ''").join(bodies, "body_of")
     rows = notes.where("duplicate_of = ''").join(slugs, "cluster_id").where(T.safe_stem(F.col("slug")) & T.safe_stem(F.col("id")))
     return rows.select(F.concat(F.lit("topics/"), "slug", F.lit("/"), "id", F.lit(".md")).alias("path"), note_markdown(F.col).alias("content"))
 

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notewright.config import EngineConfig, ModelInfo
-from notewright.operators import clusters, dedup, encode, manifest
+from notewright.operators import clusters, dedup, encode, manifest, vault
 from notewright.sources import messages as M
 from notewright.storage import Tables
 
@@ -124,6 +124,12 @@ def test_snapshot_tables_hold_no_text_of_duplicates(group):
         assert not {"text", "normalized", "body", "additions"} & set(table.columns)
 
 
+def test_files_of_canonical_notes_take_bodies_from_their_table(group):
+    _, heads, found, body_rows, whole = group
+    files = lambda *x: {(r.path, r.content) for r in vault.note_files(*x).collect()}
+    assert len(files(heads, found, body_rows)) == 1 and files(heads, found, body_rows) == files(whole, found)
+
+
 def test_validation_stops_a_run(spark):
     bad = spark.createDataFrame([(" ", 1, "x")], "source_chat string, source_msg_id long, text string").select(
         "*", F.timestamp_seconds(F.lit(9)).alias("date_utc"), F.lit(None).cast("timestamp").alias("edited_at_utc"), F.lit(None).cast("long").alias("reply_to_source_msg_id")
