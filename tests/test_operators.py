@@ -130,6 +130,12 @@ def test_files_of_canonical_notes_take_bodies_from_their_table(group):
     assert len(files(heads, found, body_rows)) == 1 and files(heads, found, body_rows) == files(whole, found)
 
 
+def test_members_of_clusters_need_no_bodies(group):
+    _, heads, _, _, whole = group
+    assert manifest.members(heads).collect() == manifest.members(whole).collect()
+    assert manifest.members(heads).first().note_ids == [f"c:{i + 1}" for i in range(61)]
+
+
 def test_validation_stops_a_run(spark):
     bad = spark.createDataFrame([(" ", 1, "x")], "source_chat string, source_msg_id long, text string").select(
         "*", F.timestamp_seconds(F.lit(9)).alias("date_utc"), F.lit(None).cast("timestamp").alias("edited_at_utc"), F.lit(None).cast("long").alias("reply_to_source_msg_id")
