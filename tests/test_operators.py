@@ -136,6 +136,13 @@ def test_members_of_clusters_need_no_bodies(group):
     assert manifest.members(heads).first().note_ids == [f"c:{i + 1}" for i in range(61)]
 
 
+def test_sidecars_need_no_bodies(group):
+    _, heads, _, _, whole = group
+    model = ModelInfo("m", "h", "", 2)
+    assert vault.sidecars(heads, model).collect() == vault.sidecars(whole, model).collect()
+    assert [r.path for r in vault.sidecars(heads, model).collect()] == ["_meta/embeddings/c:1.json"]
+
+
 def test_validation_stops_a_run(spark):
     bad = spark.createDataFrame([(" ", 1, "x")], "source_chat string, source_msg_id long, text string").select(
         "*", F.timestamp_seconds(F.lit(9)).alias("date_utc"), F.lit(None).cast("timestamp").alias("edited_at_utc"), F.lit(None).cast("long").alias("reply_to_source_msg_id")
