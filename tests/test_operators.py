@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from notewright.config import EngineConfig, ModelInfo
 from notewright.operators import clusters, dedup, encode, manifest, vault
 from notewright.sources import messages as M
+from notewright.sources import snapshot
 from notewright.storage import Tables
 
 
@@ -143,6 +144,13 @@ def test_sidecars_need_no_bodies(group):
     assert [r.path for r in vault.sidecars(heads, model).collect()] == ["_meta/embeddings/c:1.json"]
 
 
+def test_notes_without_bodies_have_the_hash_of_their_body(spark, group):
+    _, heads, _, body_rows, whole = group
+    digest = body_rows.select(F.sha2("body", 256).alias("h")).first().h
+    assert {r.hash for r in heads.select("hash").collect()} == {digest} and heads.count() == 61
+    assert manifest.filled(heads, body_rows).columns == [x.split(" ")[0] for x in snapshot.NOTES.split(", ")] == whole.columns
+
+
 def test_validation_stops_a_run(spark):
     bad = spark.createDataFrame([(" ", 1, "x")], "source_chat string, source_msg_id long, text string").select(
         "*", F.timestamp_seconds(F.lit(9)).alias("date_utc"), F.lit(None).cast("timestamp").alias("edited_at_utc"), F.lit(None).cast("long").alias("reply_to_source_msg_id")
