@@ -10,6 +10,10 @@ from pyspark.sql.types import StringType
 from notewright.functions.text import rfc3339
 
 
+#: What stands between a text and those of its duplicates.
+ADDITIONS = "\n\n## Additions\n\n"
+
+
 def bullet(text: Column) -> Column:
     return F.concat(F.lit("- "), F.replace(text, F.lit("\n"), F.lit("\n  ")))
 
@@ -17,7 +21,7 @@ def bullet(text: Column) -> Column:
 def master_body(title: Column, text: Column, additions: Column) -> Column:
     """A heading, the text, and what duplicates add."""
     head = F.concat(F.lit("# "), title, F.when(text != "", F.concat(F.lit("\n\n"), text)).otherwise(""))
-    more = F.concat(F.lit("\n\n## Additions\n\n"), F.array_join(F.transform(additions, bullet), "\n"))
+    more = F.concat(F.lit(ADDITIONS), F.array_join(F.transform(additions, bullet), "\n"))
     return F.concat(head, F.when(F.size(additions) > 0, more).otherwise(""))
 
 

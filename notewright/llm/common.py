@@ -11,28 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notewright.storage import Tables, shared_dir
+from notewright.storage import Tables, shared_dir, small_batches
 
-__all__ = ["Tables", "shared_dir"]
+__all__ = ["Tables", "shared_dir", "small_batches"]
 
 #: Fixed by the query contracts: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows and bytes of text that one Arrow batch hands to Python at most.
-BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds what Python workers hold at once, so that very long texts do not pile up."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 _held: dict[object, object] = {}
 
 

@@ -14,24 +14,46 @@ from notewright.config import EngineConfig, ModelInfo
 from notewright.functions import text as T
 from notewright.operators import clusters as C
 from notewright.operators import dedup as D
-from notewright.storage import Tables
+from notewright.storage import Tables, small_batches
 
 SCHEMA_VERSION = 1
 #: Bytes of a body that are read at once.
 PIECE = 1 << 20
 
 
+def _grouped(rows: DataFrame, config: EngineConfig, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Candidates with exact and semantic masters, and ``note_id, cluster_id`` of the semantic masters."""
+    rows = tables.put("candidates", D.exact_masters(rows, tables))
+    tables.drop("hashed")
+    rows = tables.put("semantic", D.semantic_masters(rows, config.dedup_threshold, tables, config.search))
+    tables.drop("candidates")
+    firsts = rows.where("note_id = semantic_master").select("note_id", "source_chat", "source_msg_id", "embedding")
+    return rows, tables.put("assigned", C.assign(firsts, config.cluster_threshold, config.search))
+
+
+def _placed(rows: DataFrame, assigned: DataFrame) -> DataFrame:
+    return rows.join(assigned.select(F.col("note_id").alias("semantic_master"), "cluster_id"), "semantic_master")
+
+
 def dedup_and_cluster(embedded: DataFrame, config: EngineConfig, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """All rows with their masters and clusters, without texts, and the masters with bodies."""
+    small_batches(embedded.sparkSession)
     texts = tables.put("texts", D.candidates(embedded).drop("text"))
-    rows = tables.put("candidates", D.exact_masters(texts.drop("normalized"), tables))
-    rows = tables.put("semantic", D.semantic_masters(rows, config.dedup_threshold, tables, config.search))
-    firsts = rows.where("note_id = semantic_master").select("note_id", "source_chat", "source_msg_id", "embedding")
-    assigned = tables.put("assigned", C.assign(firsts, config.cluster_threshold, config.search))
+    rows, assigned = _grouped(texts.drop("normalized"), config, tables)
     masters = D.with_bodies(rows, texts).drop("normalized", "additions").withColumn("body_hash", F.sha2("body", 256))
     masters = tables.put("masters", masters.join(assigned, "note_id"))
-    placed = assigned.select(F.col("note_id").alias("semantic_master"), "cluster_id")
-    return tables.put("placed", rows.join(placed, "semantic_master")), masters
+    return tables.put("placed", _placed(rows, assigned)), masters
+
+
+def placed(embedded: DataFrame, config: EngineConfig, tables: Tables) -> DataFrame:
+    """As the rows of :func:`dedup_and_cluster`, for what needs no text: none is written, no title or
+    body is made."""
+    small_batches(embedded.sparkSession)
+    return _placed(*_grouped(D.candidates(embedded).drop("text", "normalized", "title"), config, tables))
+
+
+def duplicate_of() -> Column:
+    return F.when(F.col("note_id") == F.col("semantic_master"), "").otherwise(F.col("semantic_master"))
 
 
 def heads(rows: DataFrame, masters: DataFrame, model: ModelInfo) -> DataFrame:
@@ -46,7 +68,7 @@ def heads(rows: DataFrame, masters: DataFrame, model: ModelInfo) -> DataFrame:
         F.col("note_id").alias("id"), "source_chat", "source_msg_id", "title", F.col("body_hash").alias("hash"),
         F.lit(model.model_id).alias("embedding_id"), "embedding", "cluster_id", F.array().cast("array<string>").alias("tags"),
         F.col("date_utc").alias("created_at"), F.greatest("date_utc", F.coalesce("edited_at_utc", "date_utc")).alias("updated_at"),
-        F.when(F.col("note_id") == F.col("semantic_master"), "").otherwise(F.col("semantic_master")).alias("duplicate_of"),
+        duplicate_of().alias("duplicate_of"),
         F.col("semantic_master").alias("body_of"),
     )
 

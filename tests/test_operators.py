@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from notewright.config import EngineConfig, ModelInfo
 from notewright.operators import clusters, dedup, encode, manifest, vault
+from notewright.plans import queries
 from notewright.sources import messages as M
 from notewright.sources import snapshot
 from notewright.storage import Tables
@@ -151,6 +152,16 @@ def test_notes_without_bodies_have_the_hash_of_their_body(spark, group):
     assert manifest.filled(heads, body_rows).columns == [x.split(" ")[0] for x in snapshot.NOTES.split(", ")] == whole.columns
 
 
+@pytest.mark.parametrize("name", ["manifest_counts"])
+def test_queries_without_bodies_make_none(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(dedup, "with_bodies", lambda *_: pytest.fail("a body was made"))
+    put, kept = Tables.put, []
+    monkeypatch.setattr(Tables, "put", lambda self, table, df: kept.append((table, set(df.columns))) or put(self, table, df))
+    assert getattr(queries, name)(spark, sf_dir).count()
+    with_text = {table for table, columns in kept if columns & {"text", "normalized", "additions", "body"}}
+    assert with_text == set()
+
+
 def test_validation_stops_a_run(spark):
     bad = spark.createDataFrame([(" ", 1, "x")], "source_chat string, source_msg_id long, text string").select(
         "*", F.timestamp_seconds(F.lit(9)).alias("date_utc"), F.lit(None).cast("timestamp").alias("edited_at_utc"), F.lit(None).cast("long").alias("reply_to_source_msg_id")
