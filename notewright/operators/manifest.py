@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notewright.config import EngineConfig, ModelInfo
 from notewright.functions import text as T
+from notewright.functions.render import ADDITIONS, bullet, master_body
 from notewright.operators import clusters as C
 from notewright.operators import dedup as D
 from notewright.storage import Tables, small_batches
@@ -52,6 +55,49 @@ def placed(embedded: DataFrame, config: EngineConfig, tables: Tables) -> DataFra
     return _placed(*_grouped(D.candidates(embedded).drop("text", "normalized", "title"), config, tables))
 
 
+def placed_and_hashed(embedded: DataFrame, config: EngineConfig, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """As :func:`dedup_and_cluster`, with the hashes of the bodies in place of the masters: no body is made."""
+    small_batches(embedded.sparkSession)
+    texts = tables.put("texts", D.candidates(embedded).drop("text"))
+    rows, assigned = _grouped(texts.drop("normalized"), config, tables)
+    hashes = tables.put("hashes", body_hashes(rows, texts))
+    tables.drop("texts")
+    return _placed(rows, assigned), hashes
+
+
+def body_hashes(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``note_id, body_hash`` of the semantic masters: SHA-256 of what :func:`D.with_bodies` renders.
+
+    A group's texts pass in order through a running digest, so no task holds a body.
+    """
+    used = rows.where("note_id = exact_master").join(texts.select("note_id", "normalized"), "note_id")
+    own = F.col("note_id") == F.col("semantic_master")
+    piece = F.when(own, master_body(F.col("title"), F.col("normalized"), F.array().cast("array<string>"))).otherwise(bullet(F.col("normalized")))
+    pieces = used.where(own | (F.col("normalized") != "")).select(F.col("semantic_master").alias("note_id"), own.alias("own"), "ord", piece.alias("piece"))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = pieces.repartition(parts, "note_id").sortWithinPartitions("note_id", F.desc("own"), "ord").select("note_id", "own", "piece")
+    schema = pa.schema([("note_id", pa.string()), ("body_hash", pa.string())])
+
+    def digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, listed = None, None, False
+        for batch in batches:
+            done = []
+            for note, is_own, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if is_own:
+                    if now is not None:
+                        done.append((now, digest.hexdigest()))
+                    now, digest, listed = note, hashlib.sha256(), False
+                else:
+                    digest.update(b"\n" if listed else ADDITIONS.encode())
+                    listed = True
+                digest.update(text.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.string()) for k in (0, 1)], schema=schema)
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([digest.hexdigest()])], schema=schema)
+
+    return ordered.mapInArrow(digested, "note_id string, body_hash string")
+
+
 def duplicate_of() -> Column:
     return F.when(F.col("note_id") == F.col("semantic_master"), "").otherwise(F.col("semantic_master"))
 

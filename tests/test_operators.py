@@ -152,14 +152,31 @@ def test_notes_without_bodies_have_the_hash_of_their_body(spark, group):
     assert manifest.filled(heads, body_rows).columns == [x.split(" ")[0] for x in snapshot.NOTES.split(", ")] == whole.columns
 
 
-@pytest.mark.parametrize("name", ["manifest_counts", "cluster_members", "sidecar_paths"])
+@pytest.mark.parametrize("name", ["manifest_counts", "cluster_members", "sidecar_paths", "manifest_notes"])
 def test_queries_without_bodies_make_none(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(dedup, "with_bodies", lambda *_: pytest.fail("a body was made"))
     put, kept = Tables.put, []
     monkeypatch.setattr(Tables, "put", lambda self, table, df: kept.append((table, set(df.columns))) or put(self, table, df))
     assert getattr(queries, name)(spark, sf_dir).count()
     with_text = {table for table, columns in kept if columns & {"text", "normalized", "additions", "body"}}
-    assert with_text == set()
+    assert with_text == ({"texts"} if name == "manifest_notes" else set())
+
+
+def test_hashes_of_bodies_are_those_of_whole_bodies(spark):
+    # c:1 has two additions and an empty one, c:2 none, c:3 is empty itself and has one of two lines.
+    rows = spark.createDataFrame(
+        [(9, "c:1", "t"), (3, "c:1", "u"), (1, "c:1", "é first"), (5, "c:1", ""), (2, "c:2", "alone"), (4, "c:3", ""), (6, "c:3", "x\ny")], "n long, semantic_master string, normalized string"
+    )
+    first = {1: "c:1", 2: "c:2", 4: "c:3"}
+    rows = rows.withColumn("note_id", F.when(F.col("n").isin(*first), F.col("semantic_master")).otherwise(F.concat(F.lit("d:"), "n")))
+    rows = rows.withColumn("exact_master", F.col("note_id")).withColumn("ord", F.struct("n")).withColumn("title", F.concat(F.lit("title "), "n"))
+    wanted = {r.note_id: r.h for r in dedup.with_bodies(rows).select("note_id", F.sha2("body", 256).alias("h")).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        found = manifest.body_hashes(rows.drop("normalized"), rows.select("note_id", "normalized")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 3 and {r.note_id: r.body_hash for r in found} == wanted
 
 
 def test_validation_stops_a_run(spark):
