@@ -1,7 +1,7 @@
 """Per-word work on whole texts: each distinct word is worked on once for each Python worker.
 
 Scores that add up over the words of a text need no more than a table of words; what a new word
-needs (its n-grams, say) is computed for all new words of a batch at once, in numpy.
+needs (its n-grams, say) is computed for many new words at once, in numpy.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 import numpy as np
 
 REMEMBERED_CHARS = 4 << 20
+#: New words that are worked on at once; what a word needs meanwhile is many times its row.
+PORTION = 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -38,13 +40,14 @@ class WordTable:
         if fresh:
             new = sorted(fresh)
             start = len(self.place)
-            rows = self.compute(new)
             need = start + len(new)
             if need > len(self.rows):
                 grown = np.zeros((max(need, 2 * len(self.rows)), self.width), np.float64)
                 grown[:start] = self.rows[:start]
                 self.rows = grown
-            self.rows[start:need] = rows
+            for a in range(0, len(new), PORTION):
+                part = new[a : a + PORTION]
+                self.rows[start + a : start + a + len(part)] = self.compute(part)
             self.place.update(zip(new, range(start, need), strict=True))
             self.chars += sum(map(len, new)) + 16 * len(new)
         get = self.place.__getitem__

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from notewright.llm import html_extraction, language_id, quality, toxicity
+from notewright.llm import html_extraction, language_id, quality, toxicity, words
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -18,6 +18,16 @@ def odd(spark):
     return spark.createDataFrame([(i, t, "clash", 0.5) for i, t in rows], "doc_id long, text string, lang_pred string, score double")
 
 
+def test_new_words_are_worked_on_in_portions(monkeypatch):
+    monkeypatch.setattr(words, "PORTION", 100)
+    at_once = []
+    table = words.WordTable(lambda new: at_once.append(len(new)) or np.array([[len(w), int(w[1:])] for w in new]), 2)
+    texts = [[f"w{(7 * i + k) % 1050}" for k in range(300)] for i in range(50)]
+    ids = table.ids(texts)
+    assert max(at_once) == 100 and sum(at_once) == len({w for t in texts for w in t})
+    assert all([(len(w), int(w[1:])) for w in t] == [tuple(r) for r in table.rows[i].tolist()] for t, i in zip(texts, ids, strict=True))
+
+
 def test_languages_of_held_out_texts(spark):
     got = language_id.op4_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.accepted.mean() > 0.98 and got.score.between(0, 1).all()
