@@ -24,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes that pass through a worker before it looks for memory to give back.
+LITTLE = 4 << 20
 _held: dict[object, object] = {}
+_passed = 0
 
 
 def held(key: object, make: Callable[[], object]) -> object:
@@ -47,12 +50,32 @@ def _give_back() -> None:
         trim(0)
 
 
+# Functions of the module, since what a closure sets is a task's own.
+def _count(n: int) -> None:
+    global _passed
+    _passed += n
+
+
+def _much() -> bool:
+    global _passed
+    much = _passed >= LITTLE
+    _passed *= not much
+    return much
+
+
 def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, after which the worker keeps no memory but what is in use."""
+    """``run``, after which the worker keeps no memory but what is in use; where little passed since it
+    gave back last, there is nothing to search for."""
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _count(batch.nbytes)
+            yield batch
 
     def ran(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
-        _give_back()
+        yield from run(counted(batches))
+        if _much():
+            _give_back()
 
     return ran
 

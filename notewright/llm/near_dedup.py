@@ -38,6 +38,8 @@ BAND = 5
 BLOCK, PORTION = 512, 256
 #: A bucket with so many classes of one batch is a star there, before anything is moved.
 FREQUENT = 16
+#: Likely partners of a class that are compared one by one; more are counted together.
+SINGLY = 8
 #: Ids that are broadcast to fetch rows; beyond, tables are joined by a shuffle.
 BROADCAST_IDS = 250_000
 
@@ -144,21 +146,21 @@ def likely(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, percent
     return fits & (shingles.estimate(a, b) >= j - 5 * np.sqrt(j * (1 - j) / np.minimum(n, shingles.BUCKETS)))
 
 
-def _only(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """``rows`` joined with ``wanted`` by ``column``.
+def _only(rows: DataFrame, column: str, wanted: DataFrame, tables: common.Tables) -> DataFrame:
+    """``rows`` joined with ``wanted``, a written table, by ``column``.
 
     A bounded number of bare ids is broadcast to leave out all other rows before the shuffle; with
     more ids the join alone does it.
     """
-    ids = wanted.select(column).distinct()
+    ids = tables.put("ids", wanted.select(column).distinct())
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         rows = rows.join(F.broadcast(ids), column, "left_semi")
     return rows.join(wanted, column)
 
 
-def texts_for(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
+def texts_for(docs: DataFrame, text: str, key: str, wanted: DataFrame, tables: common.Tables) -> DataFrame:
     """``text`` with the columns of ``wanted``, whose column ``rep`` names the document."""
-    return _only(docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).where(F.col("text").isNotNull()), "rep", wanted)
+    return _only(docs.select(F.col(key).alias("rep"), F.col(text).alias("text")).where(F.col("text").isNotNull()), "rep", wanted, tables)
 
 
 def star_ends(pairs: DataFrame) -> DataFrame:
@@ -179,9 +181,9 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=PAIR)
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, tables: common.Tables) -> DataFrame:
     """The pairs ``a, b`` that their sizes and the estimate do not rule out."""
-    got = _only(classes.select("id", "n_shingles", "registers"), "id", star_ends(pairs))
+    got = _only(classes.select("id", "n_shingles", "registers"), "id", tables.put("ends", star_ends(pairs)), tables)
     got = got.select("a", "portion", "place", "id", "n_shingles", "registers").repartition("a", "portion").sortWithinPartitions("a", "portion", "place")
 
     def filtered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +207,13 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return got.mapInArrow(common.lean(filtered), "a long, b long")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str, key: str, width: int, tables: common.Tables) -> DataFrame:
     """The pairs ``a, b`` that link on full sets.
 
     The texts of a portion of a star meet in one place and are read as a stream, its centre first.
     """
-    ends = star_ends(pairs).join(classes.select("id", "rep", "digest"), "id")
-    got = texts_for(docs, text, key, ends).select("a", "portion", "place", "id", "digest", "text")
+    ends = tables.put("ends", star_ends(pairs).join(classes.select("id", "rep", "digest"), "id"))
+    got = texts_for(docs, text, key, ends, tables).select("a", "portion", "place", "id", "digest", "text")
     got = got.repartition("a", "portion").sortWithinPartitions("a", "portion", "place", "id")
 
     def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,10 +276,10 @@ def _groups(batches: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def doubtful(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def doubtful(rows: DataFrame, classes: DataFrame, tables: common.Tables) -> DataFrame:
     """Those of the blocked ``rows`` that have a likely partner of another component in their pair of
     blocks, by registers alone."""
-    got = _only(classes.select("id", "n_shingles", "registers"), "id", rows).select("bucket", "x", "y", "side", "root", "id", "n_shingles", "registers")
+    got = _only(classes.select("id", "n_shingles", "registers"), "id", rows, tables).select("bucket", "x", "y", "side", "root", "id", "n_shingles", "registers")
     got = got.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     schema = pa.schema([("bucket", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("id", pa.int64())])
 
@@ -303,30 +305,42 @@ def doubtful(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return got.mapInArrow(common.lean(sifted), "bucket long, x long, y long, id long")
 
 
-def residual_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int) -> DataFrame:
+def links_across(group: dict[int, tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Links that unite the components of a block's classes; ``group``: root and sorted set by id.
+
+    Where a class has many likely partners, their intersections with its set are counted in one pass
+    over the block's shingles: near copies just below the threshold would be compared pair by pair.
+    """
+    ids, sets = list(group), [s for _, s in group.values()]
+    label = np.fromiter((root for root, _ in group.values()), np.int64, len(ids))
+    sizes = np.fromiter(map(len, sets), np.int64, len(ids))
+    starts = np.cumsum(sizes) - sizes
+    regs = np.array([shingles.registers(s) for s in sets])
+    flat, known = np.unique(np.concatenate(sets), return_inverse=True)[1], None
+    for i in range(1, len(ids)):
+        near = np.flatnonzero(label[:i] != label[i])
+        near = near[likely(regs[near], sizes[near], regs[i], sizes[i])]
+        if len(near) < SINGLY:
+            found = [j for j in near if jaccard_links(sets[i], sets[j])]
+        else:
+            known = np.zeros(int(flat.max()) + 1, np.int64) if known is None else known
+            own = flat[starts[i] : starts[i] + sizes[i]]
+            known[own] = 1
+            both = np.add.reduceat(known[flat[: starts[i]]], starts[:i])[near]
+            known[own] = 0
+            found = near[100 * both >= PERCENT * (sizes[near] + sizes[i] - both)]
+        for j in found:
+            if label[i] != label[j]:
+                label[label == label[i]] = label[j]
+                yield ids[i], ids[j]
+
+
+def residual_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width: int, tables: common.Tables) -> DataFrame:
     """Links between different components of a pair of blocks, on full sets.  ``rows``: ``bucket, x, y,
     id, root, rep, digest``."""
-    got = texts_for(docs, text, key, rows).select("bucket", "x", "y", "id", "root", "digest", "text")
+    got = texts_for(docs, text, key, rows, tables).select("bucket", "x", "y", "id", "root", "digest", "text")
     got = got.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "root", "id")
 
-    def search(group: dict[int, tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
-        ids, parent = list(group), {root: root for root, _ in group.values()}
-
-        def find(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        sets = [group[i][1] for i in ids]
-        sizes = np.fromiter(map(len, sets), np.int64)
-        regs = np.array([shingles.registers(s) for s in sets])
-        for i in range(1, len(ids)):
-            for j in np.flatnonzero(likely(regs[:i], sizes[:i], regs[i], sizes[i])):
-                a, b = find(group[ids[i]][0]), find(group[ids[j]][0])
-                if a != b and jaccard_links(sets[i], sets[j]):
-                    parent[a] = b
-                    yield ids[i], ids[j]
-
     def searched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, {}
         for batch in batches:
@@ -334,12 +348,12 @@ def residual_links(rows: DataFrame, docs: DataFrame, text: str, key: str, width:
             for bucket, x, y, own, root, digest, s in zip(*(batch.column(c).to_pylist() for c in range(6)), sets, strict=True):
                 if (bucket, x, y) != now:
                     if len(group) > 1:
-                        yield _pairs(list(search(group)))
+                        yield _pairs(list(links_across(group)))
                     now, group = (bucket, x, y), {}
                 if shingles.set_digest(s) == digest:
                     group[own] = (root, s)
         if len(group) > 1:
-            yield _pairs(list(search(group)))
+            yield _pairs(list(links_across(group)))
 
     return got.mapInArrow(common.lean(searched), "a long, b long").distinct()
 
@@ -366,20 +380,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
 
     shared = tables.put("shared", shared_buckets(classes))
     stars = tables.put("stars", shared.where("id <> a").select("a", F.col("id").alias("b")).distinct())
-    likely_pairs = tables.put("likely", estimated(stars, classes))
-    links = tables.put("links", verified(likely_pairs, classes, docs, text, key, width))
-    tables.drop("stars", "likely")
+    likely_pairs = tables.put("likely", estimated(stars, classes, tables))
+    links = tables.put("links", verified(likely_pairs, classes, docs, text, key, width, tables))
+    tables.drop("stars", "likely", "ends", "ids")
     found = components(links, tables, "first")
 
     rest = tables.put("rest", blocked(tables.put("mixed", mixed_buckets(shared, links, found))))
     tables.drop("shared")
-    sifted = doubtful(rest, classes).join(rest.select("bucket", "x", "y", "id", "root"), ["bucket", "x", "y", "id"])
+    sifted = doubtful(rest, classes, tables).join(rest.select("bucket", "x", "y", "id", "root"), ["bucket", "x", "y", "id"])
     sifted = tables.put("sifted", sifted.join(classes.select("id", "rep", "digest"), "id"))
     tables.drop("mixed", "rest")
-    more = tables.put("more", residual_links(sifted, docs, text, key, width))
+    more = tables.put("more", residual_links(sifted, docs, text, key, width, tables))
     if more.limit(1).count():
         found = components(links.unionByName(more), tables, "second")
-    tables.drop("sifted")
+    tables.drop("sifted", "ids")
 
     ids = classes.select("id", "digest", "rep", "copies")
     grouped = ids.join(found.select(F.col("node").alias("id"), "root"), "id")

@@ -86,6 +86,31 @@ def test_near_duplicates_are_those_of_all_pairs(spark, monkeypatch, block, frequ
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want.find(r.doc_id), want.find(r.doc_id) == r.doc_id)
 
 
+@pytest.mark.parametrize("singly", [0, 8, 10**9])
+def test_links_across_components_of_a_block(monkeypatch, singly):
+    # Near copies of a text, just over and just below the threshold to each other, in two components and many single ones.
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.choice(base, 300 - k % 50, replace=False), rng.integers(0, 2**64, k % 50, dtype=np.uint64)]) for k in range(120)]
+    roots = {i: 0 if i < 40 else 1 if i < 60 else i for i in range(120)}
+    calls, real = [], near_dedup.jaccard_links
+    monkeypatch.setattr(near_dedup, "SINGLY", singly)
+    monkeypatch.setattr(near_dedup, "jaccard_links", lambda *x: calls.append(x) or real(*x))
+    found = list(near_dedup.links_across({1000 + i: (roots[i], s) for i, s in enumerate(sets)}))
+    assert all(real(sets[a - 1000], sets[b - 1000]) for a, b in found)
+
+    def parts(links):
+        label = dict(roots)
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = {k: y if v == x else v for k, v in label.items()}
+        return {frozenset(k for k, v in label.items() if v == w) for w in label.values()}
+
+    every = [(i, j) for i in range(120) for j in range(i) if real(sets[i], sets[j])]
+    assert parts((a - 1000, b - 1000) for a, b in found) == parts(every) and len(parts(every)) < len(parts([]))
+    assert len(calls) <= singly * 120
+
+
 def test_near_duplicates_of_nothing_and_without_ids(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_duplicates(frame).count() == 0
